@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.keys import user_key, user_key_sql
-from wardline.llm import components, overlap, quantiles
+from wardline.llm import components, leak, overlap, quantiles, reading, tokens
 from wardline.sources.tables import table
 
 
@@ -57,7 +58,42 @@ def p4_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return _daily(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_split, p3_found, p3_sizes, p4_percentiles, p4_sketch)}
+#: Folder of the public vocabularies; a parameter of the deployment.
+TOKENIZERS = os.environ.get("WARDLINE_TOKENIZERS", "/opt/tokenizers")
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leak.leaks(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items", "item_id", "passage"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+def p7_by_item(spark: SparkSession, sf: str) -> DataFrame:
+    """Per passage that leaked: how many documents hold it, and the largest share of its words."""
+    return _leaks(spark, sf).groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("documents"), F.max(F.col("covered") / F.col("item_words")).alias("largest_share"))
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    ranker = reading.fit(table(spark, sf, "graded_samples", "text", "band"), "text", "band")
+    return reading.levels(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ranker)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).select("doc_id", "band")
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """What the bands rest on: measures, the ranker's score and level, and both bands."""
+    return _levels(spark, sf)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_split, p3_found, p3_sizes, p4_percentiles, p4_sketch, p6_ids, p7_found, p7_by_item, p8_found, p8_levels)}
 
 _PAIRS = f"""a AS (SELECT row_id, source, {user_key_sql("user_hash")} AS k FROM train),
 b AS (SELECT row_id, source, eval_split, {user_key_sql("user_hash")} AS k FROM test),
@@ -70,10 +106,10 @@ c AS (SELECT a AS v, min(least(a, b)) AS g FROM s GROUP BY a),
 r(v, g) USING KEY (v) AS (SELECT v, g FROM c UNION
   SELECT s.a, min(n.g) FROM r AS n JOIN s ON s.b = n.v JOIN recurring.r AS o ON o.v = s.a WHERE n.g < o.g GROUP BY s.a)"""
 _LOG = repr(math.log(quantiles.gamma()))
-_BUCKETS = " UNION ALL ".join(f"SELECT source, CAST(observed_at AS DATE) AS day, '{f}' AS feature, {f} AS x FROM train" for f in FEATURES)
-_SKETCH = f"""v AS ({_BUCKETS}), w AS (SELECT * FROM v WHERE x IS NOT NULL AND NOT isnan(x)),
+_BUCKETS = " UNION ALL ".join(f"SELECT source, CAST(observed_at AS DATE) AS day, '{f}' AS feature, CAST(nullif(CAST({f} AS VARCHAR), 'nan') AS DOUBLE) AS x FROM train" for f in FEATURES)
+_SKETCH = f"""v AS ({_BUCKETS}),
 d AS (SELECT source, day, feature, TRY_CAST(sign(x) AS INT) AS bucket_sign,
-  CASE WHEN isinf(x) THEN {quantiles.BEYOND} WHEN x = 0 THEN 0 ELSE TRY_CAST(ceil(ln(abs(x)) / {_LOG}) AS INT) END AS bucket, count(*) AS n FROM w GROUP BY ALL)"""
+  CASE WHEN isinf(x) THEN {quantiles.BEYOND} WHEN x = 0 THEN 0 ELSE TRY_CAST(ceil(ln(abs(x)) / {_LOG}) AS INT) END AS bucket, count(x) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL)"""
 _G = repr(quantiles.gamma())
 
 ORACLES = {
