@@ -151,16 +151,13 @@ def clustering(users: DataFrame, one: DataFrame) -> DataFrame:
     return found.select("key", "triangles", F.when(F.col("k") > 1, 2.0 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def _rounds(state: DataFrame, step, rounds: int, every: int = 5) -> DataFrame:
-    """state after so many steps; written down every few, so that plans stay short and lost executors cost little."""
-    kept = state
-    for i in range(rounds):
-        state = step(state)
-        if (i + 1) % every == 0 and i + 1 < rounds:
-            after = settle(state)
-            if kept is not state and i >= every:
-                release(kept)
-            kept = state = after
+def _rounds(state: DataFrame, step, rounds: int) -> DataFrame:
+    """state, a settled table, after so many steps, each written down, so that plans stay short and a lost executor
+    costs one step."""
+    for _ in range(rounds):
+        after = settle(step(state))
+        release(state)
+        state = after
     return state
 
 
@@ -192,17 +189,18 @@ def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds
     start = settle(start.select("key", "degree", (F.coalesce("y", F.lit(0)) == 1).alias("cheater"), F.when(F.col("y") == 1, 1.0).otherwise(0.0).alias("risk")))
     hot = hot_neighbours(mine) if hot is None else hot
 
+    def scaled(state: DataFrame) -> DataFrame:
+        most = state.agg(F.max("risk")).first()[0]
+        return state.withColumn("risk", F.col("risk") / most) if most and most > 0 else state
+
     def step(state: DataFrame) -> DataFrame:
+        state = scaled(state)
         share = state.filter("degree is not null").select(F.col("key").alias("v"), (F.col("risk") / F.col("degree")).alias("share"))
         coming = lookup(mine, share, "v", "share", hot).groupBy(F.col("u").alias("key")).agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("coming"))
         moved = F.when(F.col("cheater"), 0.5 + 0.5 * damping * F.col("coming")).otherwise(damping * F.col("coming"))
-        raw = settle(state.join(coming, "key", "left").select("key", "degree", "cheater", F.coalesce(moved, "risk").alias("risk")))
-        most = raw.agg(F.max("risk")).first()[0]
-        return raw.withColumn("risk", F.col("risk") / most) if most and most > 0 else raw
+        return state.join(coming, "key", "left").select("key", "degree", "cheater", F.coalesce(moved, "risk").alias("risk"))
 
-    for _ in range(rounds):
-        start = step(start)
-    return start.select("key", "risk")
+    return scaled(_rounds(start, step, rounds)).select("key", "risk")
 
 
 def components(nodes: DataFrame, one: DataFrame) -> DataFrame:
@@ -252,7 +250,7 @@ def communities(nodes: DataFrame, one: DataFrame, rounds: int = 8) -> DataFrame:
         most = votes.groupBy(F.col("u").alias("key")).agg(F.min(F.struct(-F.col("n"), F.col("seen"))).alias("m")).select("key", F.col("m.seen").alias("seen"))
         return state.join(most, "key", "left").select("key", F.coalesce("seen", "label").alias("label"))
 
-    return _rounds(start, step, rounds, 4).select("key", F.col("label").alias("community"))
+    return _rounds(start, step, rounds).select("key", F.col("label").alias("community"))
 
 
 def degree_centrality(users: DataFrame, one: DataFrame) -> DataFrame:

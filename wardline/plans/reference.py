@@ -398,13 +398,13 @@ def one_hop(spark, sf):
 @query
 def two_hop(spark, sf):
     users, labels = _people(spark, sf)
-    return _named(graph.hop_rates(graph.hops(users, people.simple(_links(spark, sf)), labels, 2), 2))
+    return _r(graph.hop_rates(graph.hops(users, people.simple(_links(spark, sf)), labels, 2), 2).withColumnRenamed("key", "user_key"), 9)
 
 
 @query
 def three_hop(spark, sf):
     users, labels = _people(spark, sf)
-    return _named(graph.hop_rates(graph.hops(users, people.simple(_links(spark, sf)), labels, 3), 3))
+    return _r(graph.hop_rates(graph.hops(users, people.simple(_links(spark, sf)), labels, 3), 3).withColumnRenamed("key", "user_key"), 9)
 
 
 @query
@@ -472,7 +472,7 @@ def attach_graph(spark, sf):
 def graph_interactions(spark, sf):
     rows = _attached(spark, sf, _rows(spark, sf))
     stats = tabular.missing(NAMES) | tabular.row_stats(NAMES)
-    return rows.select("row_id", F.round(scalars.zero(F.col("cheat_rate")) * stats["missing_count"], 6).alias("rate_missing"), F.round(F.col("degree") * scalars.zero(stats["row_mean"]), 3).alias("degree_mean"))
+    return rows.select("row_id", F.round(scalars.zero(F.col("cheat_rate")) * stats["missing_count"], 6).alias("rate_missing"), (F.col("degree") * scalars.zero(stats["row_mean"]) + 0.0).alias("degree_mean"))
 
 
 # results

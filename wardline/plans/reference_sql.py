@@ -55,7 +55,6 @@ _miss = " + ".join(f"CAST({n} IS NULL AS INT)" for n in _N)
 _flags = {f"{n}_missing": f"CAST({n} IS NULL AS INT)" for n in _N}
 _rows("missing_stats", {"missing_count": _miss, "missing_ratio": f"({_miss}) / 18.0::DOUBLE", **_flags})
 _rows("impute_flags", {n: f"coalesce({n}, 0)" for n in _N} | _flags)
-_STAT = f"st AS (SELECT row_id, count(x) AS n, avg(x) AS m, stddev_samp(x) AS s, min(x) AS lo, max(x) AS hi, coalesce(sum(x), 0) AS t FROM (SELECT * FROM ro UNPIVOT INCLUDE NULLS (x FOR f IN ({_F}))) GROUP BY row_id)"
 _sum = "(0.0::DOUBLE + " + " + ".join(f"coalesce({n}, 0)" for n in _N) + ")"
 _n = "(" + " + ".join(f"CAST({n} IS NOT NULL AS INT)" for n in _N) + ")"
 _dev = " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE ({n} - m) * ({n} - m) END" for n in _N)
@@ -161,7 +160,7 @@ ORACLES["neighbor_degree"] = f"{_ALL}, dg AS (SELECT u, count(*) AS d FROM si GR
 _ONE = f"{_ALL}, {_nc('si')}, oh AS (SELECT k, degree, ln(1 + degree) AS log_degree, cheater, clean, labeled, cheater / nullif(labeled, 0) AS cheat_rate, CAST(cheater > 0 AS INT) AS has_cheater FROM nc)"
 ORACLES["one_hop"] = f"{_ONE} SELECT k AS user_key, degree, round(log_degree, 6) AS log_degree, cheater, clean, labeled, round(cheat_rate, 6) AS cheat_rate, has_cheater FROM oh"
 ORACLES["attach_graph"] = f"{_ONE} SELECT row_id, coalesce(degree, 0) AS degree, round(coalesce(log_degree, 0), 6) AS log_degree, coalesce(cheater, 0) AS cheater, coalesce(clean, 0) AS clean, coalesce(labeled, 0) AS labeled, round(cheat_rate, 6) AS cheat_rate, coalesce(has_cheater, 0) AS has_cheater FROM ro LEFT JOIN oh ON oh.k = ro.k"
-ORACLES["graph_interactions"] = f"{_ONE}, {_STAT}, ms AS (SELECT row_id, {_miss} AS mc FROM ro) SELECT ro.row_id, round(coalesce(cheat_rate, 0) * mc, 6) AS rate_missing, round(coalesce(degree, 0) * coalesce(m, 0), 3) AS degree_mean FROM ro JOIN st ON st.row_id = ro.row_id JOIN ms ON ms.row_id = ro.row_id LEFT JOIN oh ON oh.k = ro.k"
+ORACLES["graph_interactions"] = f"{_ONE}, ms AS (SELECT row_id, k, {_miss} AS mc, {_sum} / nullif({_n}, 0) AS m FROM ro) SELECT row_id, round(coalesce(cheat_rate, 0) * mc, 6) AS rate_missing, coalesce(degree, 0) * coalesce(m, 0) + 0.0 AS degree_mean FROM ms LEFT JOIN oh ON oh.k = ms.k"
 
 _IDS = """nd AS MATERIALIZED (SELECT u AS k, CAST(row_number() OVER () AS INT) AS i FROM (SELECT DISTINCT u FROM si)),
 ie AS MATERIALIZED (SELECT x.i AS a, y.i AS b FROM si JOIN nd x ON x.k = si.u JOIN nd y ON y.k = si.v),
@@ -174,13 +173,13 @@ _H3 = "h3 AS MATERIALIZED (SELECT DISTINCT h2.a, ie.b FROM h2 JOIN ie ON ie.a =
 def _hops(far: int) -> str:
     per = ", ".join(f"c{h} AS (SELECT nd.k, count(*) AS n, count(*) FILTER (l.y = 1) AS p, count(*) FILTER (l.y = 0) AS q FROM h{h} JOIN nd ON nd.i = h{h}.a JOIN nd t ON t.i = h{h}.b LEFT JOIN la l ON l.k = t.k GROUP BY nd.k)" for h in range(1, far + 1))
     cols = ", ".join(f"coalesce(c{h}.n, 0) AS n_{h}hop, coalesce(c{h}.p, 0) AS cheater_{h}hop, coalesce(c{h}.q, 0) AS clean_{h}hop" for h in range(1, far + 1))
-    rates = ", ".join(f"round(cheater_{h}hop / nullif(cheater_{h}hop + clean_{h}hop, 0), 6) AS rate_{h}hop" for h in range(1, far + 1))
+    rates = ", ".join(f"round(cheater_{h}hop / nullif(cheater_{h}hop + clean_{h}hop, 0), 9) AS rate_{h}hop" for h in range(1, far + 1))
     w = [0.6, 0.3, 0.1]
-    up = " + ".join(f"coalesce({w[h - 1]} * cheater_{h}hop / nullif(cheater_{h}hop + clean_{h}hop, 0), 0)" for h in range(1, far + 1))
-    down = " + ".join(f"CASE WHEN cheater_{h}hop + clean_{h}hop > 0 THEN {w[h - 1]} ELSE 0 END" for h in range(1, far + 1))
+    up = " + ".join(f"coalesce({w[h - 1]}::DOUBLE * (cheater_{h}hop / nullif(cheater_{h}hop + clean_{h}hop, 0)), 0)" for h in range(1, far + 1))
+    down = " + ".join(f"CASE WHEN cheater_{h}hop + clean_{h}hop > 0 THEN {w[h - 1]}::DOUBLE ELSE 0 END" for h in range(1, far + 1))
     joins = " ".join(f"LEFT JOIN c{h} ON c{h}.k = us.k" for h in range(1, far + 1))
     reach = " + ".join(f"cheater_{h}hop" for h in range(1, far + 1))
-    return f"{_ALL}, {_IDS}{', ' + _H3 if far > 2 else ''}, {per}, al AS (SELECT us.k AS user_key, {cols} FROM us {joins}) SELECT *, {rates}, round(({up}) / nullif(({down})::DOUBLE, 0), 6) AS combined_rate, {reach} AS cheater_reach FROM al"
+    return f"{_ALL}, {_IDS}{', ' + _H3 if far > 2 else ''}, {per}, al AS (SELECT us.k AS user_key, {cols} FROM us {joins}) SELECT *, {rates}, round(({up}) / nullif({down}, 0), 9) AS combined_rate, {reach} AS cheater_reach FROM al"
 
 
 ORACLES["two_hop"] = _hops(2)
