@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 TRACKED = 4096
 
 
-def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKED) -> DataFrame:
-    """At most ``most`` values of the column that may be its most frequent, in one pass.
+def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKED, least: int = 1000) -> DataFrame:
+    """At most ``most`` values of the column that may be its most frequent, with at least about ``least`` rows, in one pass.
 
     A frequent-items sketch finds them: a value that holds more than about 7 / tracked of all rows is never missed.
     Nulls are no values. The result only steers how rows travel, never which rows come out.
     """
     top = df.agg(F.expr(f"approx_top_k({value}, {most}, {tracked})").alias("top"))
-    found = top.select(F.explode("top").alias("top")).select(F.col("top.item").alias(value))
+    found = top.select(F.explode("top").alias("top")).filter(F.col("top.count") >= least).select(F.col("top.item").alias(value))
     return found.filter(F.col(value).isNotNull())
 
 
