@@ -41,9 +41,14 @@ def sample_weights(y, weak, positive: float = 3.0, weak_negative: float = 0.25):
     return F.when(y == 1, positive).when(y == 0, 1.0).when(weak, weak_negative)
 
 
+def _small(ident: str):
+    """A row's number folded, so that products of it cannot overflow."""
+    return F.pmod(F.col(ident), F.lit(10**9 + 7))
+
+
 def hash_split(df: DataFrame, ident: str, share_percent: int = 20) -> DataFrame:
     """df with is_validation, by the rest of the row's number after division by 100 of its hundredfold prime."""
-    return df.withColumn("is_validation", (F.pmod(F.col(ident) * 7919, F.lit(100)) < share_percent).cast("int"))
+    return df.withColumn("is_validation", (F.pmod(_small(ident) * 7919, F.lit(100)) < share_percent).cast("int"))
 
 
 def stratified_folds(df: DataFrame, ident: str, y: str = "y", folds: int = 5) -> DataFrame:
@@ -51,8 +56,8 @@ def stratified_folds(df: DataFrame, ident: str, y: str = "y", folds: int = 5) ->
 
     Rows are dealt within blocks of a hash, so that no task orders a whole class; blocks start at different folds.
     """
-    block = F.pmod(F.col(ident) * 7919, F.lit(64))
-    order = W.partitionBy(y, block).orderBy(F.pmod(F.col(ident) * 104729, F.lit(1000003)), ident)
+    block = F.pmod(_small(ident) * 7919, F.lit(64))
+    order = W.partitionBy(y, block).orderBy(F.pmod(_small(ident) * 104729, F.lit(1000003)), ident)
     return df.withColumn("fold", F.pmod(F.row_number().over(order) + block, F.lit(folds)).cast("int"))
 
 

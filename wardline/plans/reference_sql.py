@@ -48,8 +48,8 @@ ORACLES["user_labels"] = f"WITH {_BASE}, {_PEOPLE} SELECT k AS user_key, y, CAST
 ORACLES["interest_set"] = f"WITH {_BASE}, {_PEOPLE} SELECT k AS user_key FROM us"
 ORACLES["base_rate"] = f"WITH {_BASE}, {_PEOPLE} SELECT count(y) AS labelled, CAST(coalesce(sum(y), 0) AS BIGINT) AS cheaters, round(avg(y), 9) AS rate FROM la"
 ORACLES["scale_pos"] = f"WITH {_BASE}, c AS (SELECT count(*) FILTER (is_cheating = 0) / greatest(count(*) FILTER (is_cheating = 1), 1) AS r FROM tr) SELECT round(r, 9) AS scale_pos, round(r * 1.5, 9) AS scale_pos_raised FROM c"
-ORACLES["split_labeled"] = f"WITH {_BASE} SELECT row_id, CAST(row_id * 7919 % 100 < 20 AS INT) AS is_validation FROM tr WHERE is_cheating IN (0, 1)"
-ORACLES["strat_folds"] = f"WITH {_BASE} SELECT row_id, CAST((row_number() OVER (PARTITION BY is_cheating, row_id * 7919 % 64 ORDER BY row_id * 104729 % 1000003, row_id) + row_id * 7919 % 64) % 5 AS INT) AS fold FROM tr WHERE is_cheating IN (0, 1)"
+ORACLES["split_labeled"] = f"WITH {_BASE} SELECT row_id, CAST(row_id % 1000000007 * 7919 % 100 < 20 AS INT) AS is_validation FROM tr WHERE is_cheating IN (0, 1)"
+ORACLES["strat_folds"] = f"WITH {_BASE} SELECT row_id, CAST((row_number() OVER (PARTITION BY is_cheating, row_id % 1000000007 * 7919 % 64 ORDER BY row_id % 1000000007 * 104729 % 1000003, row_id) + row_id % 1000000007 * 7919 % 64) % 5 AS INT) AS fold FROM tr WHERE is_cheating IN (0, 1)"
 
 _miss = " + ".join(f"CAST({n} IS NULL AS INT)" for n in _N)
 _flags = {f"{n}_missing": f"CAST({n} IS NULL AS INT)" for n in _N}
