@@ -22,9 +22,9 @@ def orphan_case(refs, parents):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_orphans(spark, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("most", [orphans.SPANS, 3, 0])
+def test_orphans(spark, most):
+    rng = random.Random(most)
     days = lambda: rng.choice([None, *range(20)])
     keys = ["hot"] * 6 + [f"k{i}" for i in range(12)] + [None, "", "gone"]
     refs = [(i, rng.choice(keys), days()) for i in range(2500)]
@@ -32,7 +32,7 @@ def test_orphans(spark, seed):
     r = spark.createDataFrame([(i, k, day(a), 1) for i, k, a in refs], "ref_id bigint, raw string, seen timestamp, spans int")
     p = spark.createDataFrame([(k, day(a), day(b), "x") for k, a, b in parents], "raw string, a timestamp, b timestamp, ref_id string")
     tagged = orphans.references(r, "t", "raw", user_key("raw"), "ref_id", "seen")
-    found = orphans.orphans(tagged, orphans.parents(p, user_key("raw"), "a", "b"))
+    found = orphans.orphans(tagged, orphans.parents(p, user_key("raw"), "a", "b"), most)
     got = [x.ref_id for x in found.collect()]
     assert len(got) == len(set(got)) and set(got) == orphan_case(refs, parents)
     assert orphans.orphan_counts(found).agg(F.sum("orphans")).first()[0] == len(got)

@@ -2,7 +2,9 @@
 
 References and parents are put into one long form, tagged, and grouped by key. A group says whether the key has a
 parent at all and during which spans; keys whose parents cover every reference need no look at single rows. Only the
-references of the other keys are looked up row by row, those of hot keys through a bounded broadcast.
+references of the other keys are looked up row by row, those of hot keys through a bounded broadcast. Keys with more
+than ``SPANS`` distinct spans go another way, in which nothing is gathered per key: their references and spans are put
+in order by time within days, and the latest end seen so far, on that day and before it, decides.
 
 Defined results: a null or empty key refers to nothing and is never reported. A reference without a time is satisfied
 by no parent, as no parent can be shown to have existed then. A parent without a start time covers nothing. Repeated
@@ -15,12 +17,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.skew import hot_values
+from wardline.session import settle
 
 #: Joins that are given no more than this many hot keys broadcast them.
 HOT_KEYS = 256
+#: Distinct spans of a key that are gathered in one array.
+SPANS = 1024
 
 
 def references(df: DataFrame, table: str, field: str, key: Column, ident: str, at: str) -> DataFrame:
@@ -53,8 +59,7 @@ def key_states(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return grouped.filter(F.col("undated").isNotNull() & ~F.coalesce(covered, F.lit(False))).select("key", "spans")
 
 
-def orphans(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The references whose key had no parent at their time, with all columns of refs."""
+def _by_spans(refs: DataFrame, spans: DataFrame) -> DataFrame:
     states = key_states(refs, spans)
     hot = hot_values(refs.select("key"), "key", HOT_KEYS)
     few = states.join(F.broadcast(hot), "key", "left_semi")
@@ -64,6 +69,32 @@ def orphans(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [at_hot, at_rest]).filter(~_covers(F.col("at"), F.col("spans"))).drop("spans")
 
 
+def _by_time(refs: DataFrame, spans: DataFrame) -> DataFrame:
+    """A reference is covered if the latest end of all spans begun by then lies after it."""
+    kept = [c for c in refs.columns if c not in ("key", "at")]
+    payload = F.struct(*kept)
+    end = F.coalesce("until", F.lit("9999-12-31").cast(dict(spans.dtypes)["until"])).alias("_end")
+    none = F.lit(None).cast(spans.schema["until"].dataType).alias("_end")
+    events = refs.select("key", "at", F.lit(1).alias("_is_ref"), none, payload.alias("_row")).unionByName(spans.select("key", F.col("since").alias("at"), F.lit(0).alias("_is_ref"), end, F.lit(None).cast(refs.select(payload.alias("p")).schema["p"].dataType).alias("_row")))
+    events = events.withColumn("_day", F.date_trunc("day", "at"))
+    days = events.groupBy("key", "_day").agg(F.max("_end").alias("_top"))
+    before = days.select("key", "_day", F.max("_top").over(W.partitionBy("key").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    so_far = W.partitionBy("key", "_day").orderBy("at", "_is_ref").rowsBetween(W.unboundedPreceding, 0)
+    seen = events.withColumn("_so_far", F.max("_end").over(so_far)).filter("_is_ref = 1").join(before, ["key", "_day"], "left")
+    covered = F.coalesce(F.greatest("_so_far", "_before") > F.col("at"), F.lit(False))
+    return seen.filter(~covered).select(*[F.col("_row")[c].alias(c) if c in kept else F.col(c) for c in refs.columns])
+
+
+def orphans(refs: DataFrame, spans: DataFrame, most: int = SPANS) -> DataFrame:
+    """The references whose key had no parent at their time, with all columns of refs."""
+    crowded = settle(spans.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"))
+    if crowded.isEmpty():
+        return _by_spans(refs, spans)
+    part = lambda df, how: df.join(crowded, "key", how)
+    plain = _by_spans(part(refs, "left_anti"), part(spans, "left_anti"))
+    return plain.unionByName(_by_time(part(refs, "left_semi"), part(spans, "left_semi")))
+
+
 def orphan_counts(found: DataFrame, period: str = "month") -> DataFrame:
     """Orphans by table, field and period of their time; undated ones have a null period."""
     return found.groupBy("ref_table", "ref_field", F.date_trunc(period, "at").alias("period")).agg(F.count(F.lit(1)).alias("orphans"))
