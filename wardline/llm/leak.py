@@ -190,10 +190,11 @@ def _block(docs: DataFrame, ident: str, text: str, items: list[tuple[int, str]])
     frequency = met.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     entries = [(item, int(g), len(p), index.length[item], least_shared(index.length[item])) for item, places in index.at.items() for g, p in places.items()]
     of_items = spark.createDataFrame(entries, "item bigint, gram int, places_in_item int, item_length int, least int") if entries else spark.createDataFrame([], "item bigint, gram int, places_in_item int, item_length int, least int")
+    # entries, and so the prefixes, are no more than the words of a block, which INDEX_WORDS bounds
     by_rarity = W.partitionBy("item").orderBy(F.col("texts").desc(), F.col("gram").desc())
     ranked = of_items.join(frequency, "gram").withColumn("dropped", F.sum("places_in_item").over(by_rarity))
     prefix = ranked.filter("dropped >= least").select("gram", "item", "item_length")
-    candidates = met.join(prefix, "gram").filter("length * 2 >= item_length").select("doc", "item").distinct()
+    candidates = met.join(F.broadcast(prefix), "gram").filter("length * 2 >= item_length").select("doc", "item").distinct()
     checked = candidates.join(hits, "doc")
     enough = checked.join(of_items.groupBy("item").agg(F.max("least").alias("least")), "item").filter(F.size(F.array_distinct("places")) >= F.col("least"))
     covered = enough.select("doc", "item", "places", "grams").mapInArrow(verify, f"doc {kind}, item bigint, covered int")
