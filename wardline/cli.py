@@ -28,7 +28,7 @@ def locate(name: str, given: str | None) -> str | None:
 def featured(rows: DataFrame, users: DataFrame, labels: DataFrame, links: DataFrame | None) -> DataFrame:
     """Rows with their own features and, given links, those of their user's neighbours."""
     names = people.feature_columns(rows)
-    rows = rows.withColumns(tabular.missing(names) | {k: v for k, v in tabular.row_stats(names).items() if k != "row_range"})
+    rows = tabular.with_moments(rows, names).withColumns(tabular.missing(names) | {k: v for k, v in tabular.row_stats(names).items() if k != "row_range"}).drop("_n", "_sum", "_mean")
     if links is None:
         return rows
     stats = graph.guilt(graph.neighbour_counts(users, people.both_ways(people.links(links)), labels), graph.base_rate(labels))

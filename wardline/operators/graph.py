@@ -6,19 +6,14 @@ user combine before the shuffle. Users without links get 0 for counts and null f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import flag, ratio, zero
-from wardline.operators.skew import hot_values, lookup
+from wardline.operators.skew import hot_list, lookup
 from wardline.session import release, settle
 
 
-def hot_neighbours(both: DataFrame) -> DataFrame:
-    """The neighbours that may be hubs, found once for all passes over the links."""
-    return settle(hot_values(both, "v"))
-
-
 def per_user(users: DataFrame, counts: DataFrame) -> DataFrame:
     """counts (by u) for every user; missing counts are 0, other columns null."""
     whole = [n for n, kind in counts.dtypes if kind in ("bigint", "int") and n != "u"]
@@ -29,20 +24,20 @@ def degrees(users: DataFrame, both: DataFrame) -> DataFrame:
     return per_user(users, both.groupBy("u").agg(F.count(F.lit(1)).alias("degree")))
 
 
-def neighbour_counts(users: DataFrame, both: DataFrame, labels: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def neighbour_counts(users: DataFrame, both: DataFrame, labels: DataFrame, hot: list | None = None) -> DataFrame:
     """degree, cheater, clean, labeled and unlabeled neighbours of every user."""
     seen = lookup(both, labels.select(F.col("key").alias("v"), "y"), "v", "y", hot)
     counts = seen.groupBy("u").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("y") == 1).alias("cheater"), F.count_if(F.col("y") == 0).alias("clean"))
     return per_user(users, counts.select("u", "degree", "cheater", "clean", (F.col("cheater") + F.col("clean")).alias("labeled"), (F.col("degree") - F.col("cheater") - F.col("clean")).alias("unlabeled")))
 
 
-def one_hop(users: DataFrame, both: DataFrame, labels: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def one_hop(users: DataFrame, both: DataFrame, labels: DataFrame, hot: list | None = None) -> DataFrame:
     """Neighbour counts with the rate of cheaters among the labelled, null without any."""
     n = neighbour_counts(users, both, labels, hot)
     return n.select("key", "degree", F.log1p(F.col("degree").cast("double")).alias("log_degree"), "cheater", "clean", "labeled", ratio(F.col("cheater"), F.col("labeled")).alias("cheat_rate"), (F.col("cheater") > 0).cast("int").alias("has_cheater"))
 
 
-def known_neighbours(users: DataFrame, both: DataFrame, labels: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def known_neighbours(users: DataFrame, both: DataFrame, labels: DataFrame, hot: list | None = None) -> DataFrame:
     """degree, known neighbours (labelled or passing for clean), cheaters among them and their share, 0 without any."""
     known = labels.select(F.col("key").alias("v"), F.when(F.col("weak"), 0).otherwise(F.col("y")).alias("y"))
     seen = lookup(both, known, "v", "y", hot)
@@ -50,7 +45,7 @@ def known_neighbours(users: DataFrame, both: DataFrame, labels: DataFrame, hot:
     return per_user(users, counts).withColumn("cheat_fraction", F.col("cheat_sum") / F.greatest(F.col("known"), F.lit(1)))
 
 
-def second_pass(users: DataFrame, both: DataFrame, first: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def second_pass(users: DataFrame, both: DataFrame, first: DataFrame, hot: list | None = None) -> DataFrame:
     """Mean cheat fraction and degree of the neighbours; those that are no users count as 0."""
     state = first.select(F.col("key").alias("v"), F.struct("cheat_fraction", "degree").alias("s"))
     seen = lookup(both, state, "v", "s", hot)
@@ -58,7 +53,7 @@ def second_pass(users: DataFrame, both: DataFrame, first: DataFrame, hot: DataFr
     return per_user(users, sums).select("key", zero(ratio(F.col("f"), F.col("links"))).alias("mean_cheat_fraction"), zero(ratio(F.col("d"), F.col("links"))).alias("mean_degree"))
 
 
-def neighbour_degrees(users: DataFrame, both: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def neighbour_degrees(users: DataFrame, both: DataFrame, hot: list | None = None) -> DataFrame:
     """Mean, greatest and population deviation of the neighbours' degrees, 0 without neighbours."""
     degree = both.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("d"))
     seen = lookup(both, degree, "v", "d", hot)
@@ -161,7 +156,7 @@ def _rounds(state: DataFrame, step, rounds: int) -> DataFrame:
     return state
 
 
-def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds: int = 15, alpha: float = 0.6, hot: DataFrame | None = None) -> DataFrame:
+def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds: int = 15, alpha: float = 0.6, hot: list | None = None) -> DataFrame:
     """Scores of users: labelled ones mix their label with the mean of their neighbours, others take the mean.
 
     All move at once. Users without links keep their score; a neighbour that is no user scores 0.5.
@@ -169,7 +164,7 @@ def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, round
     mine = one.join(users.select(F.col("key").alias("u")), "u", "left_semi")
     start = users.join(labels.select("key", "y"), "key", "left").select("key", "y", F.coalesce(F.col("y").cast("double"), F.lit(0.5)).alias("score"))
     mine, start = settle(mine), settle(start)
-    hot = hot_neighbours(mine) if hot is None else hot
+    hot = hot_list(mine, "v") if hot is None else hot
 
     def step(state: DataFrame) -> DataFrame:
         seen = lookup(mine, state.select(F.col("key").alias("v"), "score"), "v", "score", hot)
@@ -180,27 +175,29 @@ def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, round
     return _rounds(start, step, rounds).select("key", "score")
 
 
-def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds: int = 25, damping: float = 0.85, hot: DataFrame | None = None) -> DataFrame:
+def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds: int = 25, damping: float = 0.85, hot: list | None = None) -> DataFrame:
     """Risk that flows from cheaters along links, shared among a neighbour's links, scaled to a greatest value of 1
     after each round. Neighbours that are no users give none; users without links keep theirs."""
     degree = one.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
     mine = settle(one.join(users.select(F.col("key").alias("u")), "u", "left_semi"))
     start = users.join(labels.select("key", "y"), "key", "left").join(degree.withColumnRenamed("u", "key"), "key", "left")
     start = settle(start.select("key", "degree", (F.coalesce("y", F.lit(0)) == 1).alias("cheater"), F.when(F.col("y") == 1, 1.0).otherwise(0.0).alias("risk")))
-    hot = hot_neighbours(mine) if hot is None else hot
-
-    def scaled(state: DataFrame) -> DataFrame:
-        most = state.agg(F.max("risk")).first()[0]
-        return state.withColumn("risk", F.col("risk") / most) if most and most > 0 else state
+    hot = hot_list(mine, "v") if hot is None else hot
 
     def step(state: DataFrame) -> DataFrame:
-        state = scaled(state)
         share = state.filter("degree is not null").select(F.col("key").alias("v"), (F.col("risk") / F.col("degree")).alias("share"))
         coming = lookup(mine, share, "v", "share", hot).groupBy(F.col("u").alias("key")).agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("coming"))
         moved = F.when(F.col("cheater"), 0.5 + 0.5 * damping * F.col("coming")).otherwise(damping * F.col("coming"))
         return state.join(coming, "key", "left").select("key", "degree", "cheater", F.coalesce(moved, "risk").alias("risk"))
 
-    return scaled(_rounds(start, step, rounds)).select("key", "risk")
+    state = kept = start
+    for _ in range(rounds):
+        seen = Observation()
+        after = settle(step(state).observe(seen, F.max("risk").alias("most")))  # the greatest comes with the write
+        release(kept)
+        kept, most = after, seen.get["most"]
+        state = kept.withColumn("risk", F.col("risk") / most) if most and most > 0 else kept
+    return state.select("key", "risk")
 
 
 def components(nodes: DataFrame, one: DataFrame) -> DataFrame:
@@ -241,7 +238,7 @@ def communities(nodes: DataFrame, one: DataFrame, rounds: int = 8) -> DataFrame:
     """key, community: the label most frequent among the neighbours, the smallest of equals, after so many rounds in
     which all nodes move at once. Stands in for modularity search, which has no deterministic parallel form."""
     links = settle(one.filter("u != v"))
-    hot = hot_neighbours(links)
+    hot = hot_list(links, "v")
     start = settle(nodes.select("key", F.col("key").alias("label")))
 
     def step(state: DataFrame) -> DataFrame:

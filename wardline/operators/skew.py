@@ -20,17 +20,23 @@ def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKE
     return found.filter(F.col(value).isNotNull())
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, value: str, hot: DataFrame | None = None) -> DataFrame:
+def hot_list(df: DataFrame, value: str) -> list:
+    """The hot values themselves, at most 256."""
+    return [r[0] for r in hot_values(df.select(value), value).collect()]
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, value: str, hot: list | None = None) -> DataFrame:
     """left with the column ``value`` of right, null where right has no such key; right has each key once.
 
     Rows of hot keys take the value from a broadcast of at most as many rows as there are hot values; all other rows
     meet right in a shuffle. Rows already served travel under a key of their own, spread evenly.
     """
-    hot = hot_values(left, key) if hot is None else hot
-    served = right.join(F.broadcast(hot), key, "left_semi").select(F.col(key), F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
+    hot = hot_list(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right.select(F.col(key), F.col(value)), key, "left").select(*left.columns, value)
+    served = right.filter(F.col(key).isin(hot)).select(F.col(key), F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
     rows = left.join(F.broadcast(served), key, "left")
     spread = F.when(F.col("_is_hot"), F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))).otherwise(F.col(key))
     rest = right.select(F.col(key).alias("_key"), F.col(value).alias("_rest"))
     joined = rows.withColumn("_at", spread).join(rest, F.col("_at") == F.col("_key"), "left")
     return joined.select(*left.columns, F.coalesce("_hot", "_rest").alias(value))
-

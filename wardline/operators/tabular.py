@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import flag, ratio, total, zero
@@ -34,30 +34,37 @@ def imputed(names: list[str]) -> Columns:
     return {n: zero(F.col(n)) for n in names} | {f"{n}_missing": F.col(n).isNull().cast("int") for n in names}
 
 
-def _present(names: list[str]) -> Column:
-    return F.filter(F.array(*[F.col(n) for n in names]), lambda x: x.isNotNull())
+def with_moments(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with _n, _sum and _mean of the values present in a row, which the row statistics build on.
 
+    A projection of its own, so that the mean is computed once; plain arithmetic, so all of it is generated code.
+    """
+    n = total([F.col(c).isNotNull().cast("int") for c in names])
+    t = total([F.lit(0.0), *[zero(F.col(c)) for c in names]])
+    return df.withColumns({"_n": n, "_sum": t}).withColumn("_mean", F.try_divide("_sum", "_n"))
 
-def _sum(values: Column, of=lambda x: x) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+
+def _power_sum(names: list[str], power: int) -> Column:
+    """Sum of powers of the deviations from the mean; a missing value deviates by 0."""
+    off = [F.coalesce(F.col(c), F.col("_mean")) - F.col("_mean") for c in names]
+    return total([d * d if power == 2 else d * d * d for d in off])
 
 
 def row_stats(names: list[str]) -> Columns:
-    """Mean, sample deviation, least, greatest, range and sum of the values present; the sum of none is 0."""
-    present, n = _present(names), F.size(_present(names))
-    mean = F.when(n > 0, _sum(present) / n)
-    spread = F.sqrt(_sum(present, lambda x: (x - mean) * (x - mean)) / (n - 1))
-    low, high = F.array_min(present), F.array_max(present)
-    return {"row_mean": mean, "row_std": F.when(n > 1, spread), "row_min": low, "row_max": high, "row_range": high - low, "row_sum": _sum(present)}
+    """Mean, sample deviation, least, greatest, range and sum of the values present; the sum of none is 0.
+    For rows with moments."""
+    n, mean = F.col("_n"), F.col("_mean")
+    spread = F.sqrt(F.try_divide(_power_sum(names, 2), n - 1))
+    low, high = (F.least(*names), F.greatest(*names)) if len(names) > 1 else (F.col(names[0]), F.col(names[0]))
+    return {"row_mean": mean, "row_std": F.when(n > 1, spread), "row_min": low, "row_max": high, "row_range": high - low, "row_sum": F.col("_sum")}
 
 
 def row_skew(names: list[str]) -> Columns:
-    """Bias-corrected skewness of the values present: null below three, 0 where they are all equal."""
-    present, n = _present(names), F.size(_present(names)).cast("double")
-    mean = _sum(present) / n
-    second = _sum(present, lambda x: (x - mean) * (x - mean)) / n
-    third = _sum(present, lambda x: (x - mean) * (x - mean) * (x - mean)) / n
-    skew = F.sqrt(n * (n - 1)) / (n - 2) * F.try_divide(third, second * F.sqrt(second))
+    """Bias-corrected skewness of the values present: null below three, 0 where they are all equal.
+    For rows with moments."""
+    n = F.col("_n").cast("double")
+    second, third = F.try_divide(_power_sum(names, 2), n), F.try_divide(_power_sum(names, 3), n)
+    skew = F.try_divide(F.sqrt(n * (n - 1)), n - 2) * F.try_divide(third, second * F.sqrt(second))
     return {"row_skew": F.when(n > 2, F.when(second > 1e-14, skew).otherwise(0.0))}
 
 

@@ -38,7 +38,7 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _columns(spark: SparkSession, sf: str, columns: dict[str, Column], digits: int | None = None) -> DataFrame:
     rounded = {n: F.round(c, digits) if digits is not None else c for n, c in columns.items()}
-    return _rows(spark, sf).select("row_id", *[c.alias(n) for n, c in rounded.items()])
+    return tabular.with_moments(_rows(spark, sf), NAMES).select("row_id", *[c.alias(n) for n, c in rounded.items()])
 
 
 def _r(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -470,7 +470,7 @@ def attach_graph(spark, sf):
 
 @query
 def graph_interactions(spark, sf):
-    rows = _attached(spark, sf, _rows(spark, sf))
+    rows = _attached(spark, sf, tabular.with_moments(_rows(spark, sf), NAMES))
     stats = tabular.missing(NAMES) | tabular.row_stats(NAMES)
     return rows.select("row_id", F.round(scalars.zero(F.col("cheat_rate")) * stats["missing_count"], 6).alias("rate_missing"), (F.col("degree") * scalars.zero(stats["row_mean"]) + 0.0).alias("degree_mean"))
 
