@@ -6,7 +6,7 @@ user combine before the shuffle. Users without links get 0 for counts and null f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import flag, ratio, zero
@@ -192,10 +192,9 @@ def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds
 
     state = kept = start
     for _ in range(rounds):
-        seen = Observation()
-        after = settle(step(state).observe(seen, F.max("risk").alias("most")))  # the greatest comes with the write
+        after = settle(step(state))
         release(kept)
-        kept, most = after, seen.get["most"]
+        kept, most = after, after.agg(F.max("risk")).first()[0]
         state = kept.withColumn("risk", F.col("risk") / most) if most and most > 0 else kept
     return state.select("key", "risk")
 
