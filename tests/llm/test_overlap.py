@@ -70,3 +70,20 @@ def test_counts_equal_pairs(spark):
     train, test = tables(spark, ["aaaaaaaaaaaa", "aaaaaaaaaaaa", "aaaaaaaaaaab", None], ["aaaaaaaaaaaa", "aaaaaaaaaaaa", "zz"])
     counts = overlap.overlap_counts(overlap.matches(train, test), train, test, "text", ["id"], ["id"]).collect()
     assert [(r.pairs, r.exact_pairs) for r in counts] == [(6, 4)]
+
+
+def test_hot_runs_are_found_once(spark, monkeypatch, tmp_path):
+    """A pair whose only shared stretch is hot at the first evaluation of the sketch and not at later ones comes out."""
+    mark = str(tmp_path / "evaluated")
+
+    def once(batches):
+        import os
+
+        fresh = not os.path.exists(mark)
+        open(mark, "w").close()
+        for batch in batches:
+            yield batch if fresh else batch.slice(0, 0)
+
+    monkeypatch.setattr(overlap, "hot_values", lambda df, value, *_: df.select(value).distinct().coalesce(1).mapInArrow(once, "slice bigint"))
+    train, test = ["abcdefghijklmnopqrstuvwx"], ["abcdefgXijklmnopqYstuvwx"]
+    assert found(spark, train, test)[0] == brute(train, test) == {(0, 10**6)}

@@ -64,7 +64,8 @@ def matches(train: DataFrame, test: DataFrame, text: str = "text", run_cap: int
     """
     texts = settle(_texts(train, test, text))
     suffixes = _suffixes(texts)
-    hot = F.broadcast(hot_values(suffixes, "slice", HOT_RUNS, 65536, run_cap + 1))
+    # evaluated once: what the runs leave out must be exactly what goes the other way, and a sketch may differ from job to job
+    hot = F.broadcast(settle(hot_values(suffixes, "slice", HOT_RUNS, 65536, run_cap + 1)))
     run = W.partitionBy("slice")
     runs = suffixes.join(hot, "slice", "left_anti").withColumns({
         "n": F.count(F.lit(1)).over(run),
