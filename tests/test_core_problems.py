@@ -40,6 +40,26 @@ def test_orphans(spark, most):
     assert orphans.orphans(tagged.limit(0), orphans.parents(p, user_key("raw"), "a", "b")).count() == 0
 
 
+def test_hot_keys_are_found_once(spark, monkeypatch, tmp_path):
+    """Orphans of keys that are hot at one evaluation of the sketch and not at another come out."""
+
+    def some(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        n = len(list(tmp_path.iterdir()))
+        yield from (pa.record_batch([pa.array([f"k{n}"])], names=["key"]) for _ in batches)
+
+    sketch = lambda df, value, *_: spark.range(1).coalesce(1).mapInArrow(some, "key string")
+    monkeypatch.setattr(skew, "hot_values", sketch)
+    monkeypatch.setattr(orphans, "hot_values", sketch, raising=False)
+    refs = spark.createDataFrame([("t", "f", i, f"k{i % 9}", day(i)) for i in range(90)], "ref_table string, ref_field string, ref_id bigint, key string, at timestamp")
+    spans = spark.createDataFrame([("k0", day(0), None)], "key string, since timestamp, until timestamp")
+    assert sorted(r.ref_id for r in orphans.orphans(refs, spans).collect()) == [i for i in range(90) if i % 9]
+
+
 def test_states_of_heavy_keys(spark):
     rng = random.Random(5)
     rows = []

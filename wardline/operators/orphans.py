@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.operators.skew import hot_values
+from wardline.operators.skew import hot_list
 from wardline.session import settle
 
 #: Joins that are given no more than this many hot keys broadcast them.
@@ -61,11 +61,10 @@ def key_states(refs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _by_spans(refs: DataFrame, spans: DataFrame) -> DataFrame:
     states = key_states(refs, spans)
-    hot = hot_values(refs.select("key"), "key", HOT_KEYS)
-    few = states.join(F.broadcast(hot), "key", "left_semi")
-    rows = refs.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "key", "left")
-    at_hot = rows.filter("_hot").drop("_hot").join(F.broadcast(few), "key")
-    at_rest = rows.filter("_hot is null").drop("_hot").join(states, "key")
+    # a list, evaluated once: a key that were hot for its references but not for its state would meet nothing
+    is_hot = F.col("key").isin(hot_list(refs, "key", HOT_KEYS))
+    at_hot = refs.filter(is_hot).join(F.broadcast(states.filter(is_hot)), "key")
+    at_rest = refs.filter(~is_hot).join(states.filter(~is_hot), "key")
     return reduce(DataFrame.unionByName, [at_hot, at_rest]).filter(~_covers(F.col("at"), F.col("spans"))).drop("spans")
 
 

@@ -20,9 +20,9 @@ def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKE
     return found.filter(F.col(value).isNotNull())
 
 
-def hot_list(df: DataFrame, value: str) -> list:
-    """The hot values themselves, at most 256."""
-    return [r[0] for r in hot_values(df.select(value), value).collect()]
+def hot_list(df: DataFrame, value: str, most: int = 256) -> list:
+    """The hot values themselves, at most ``most``."""
+    return [r[0] for r in hot_values(df.select(value), value, most).collect()]
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, value: str, hot: list | None = None) -> DataFrame:
