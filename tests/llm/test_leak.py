@@ -63,6 +63,16 @@ def test_writing_makes_no_difference():
         assert leak.words(other) == leak.words(plain), other
 
 
+def test_long_tags_are_markup():
+    plain = "the quick brown foxes jump over lazy dogs"
+    for inside in ('hidden data-state="' + "many words " * 40 + '"', 'style="' + "color: red; " * 30 + '"', 'src="data:image/png;base64,' + "iVBORw0KGgo" * 500 + '"'):
+        assert leak.words(f"the quick brown <div {inside}>foxes jump</div> over lazy dogs") == plain.split(), inside[:20]
+    unclosed = "the quick brown <foxes jump over lazy dogs " + "and more " * 40
+    assert leak.words(unclosed) == unclosed.replace("<", "").split()
+    assert leak.words(unclosed + "<b>end</b>") == unclosed.replace("<", "").split() + ["end"]
+    assert leak.words(unclosed + "\n> and a quote") == unclosed.replace("<", "").split() + ["and", "a", "quote"]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, passage string")

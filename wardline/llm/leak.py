@@ -41,7 +41,8 @@ RUN = 8
 INDEX_WORDS = 2_000_000
 
 _INLINE = regex.compile(r"</?(?:b|i|u|s|a|em|strong|span|sub|sup|small|mark|font|code)(?:\s[^<>]*)?>", regex.I)
-_TAG = regex.compile(r"<(?:!--.*?--|[/!]?[a-zA-Z][^<>]{0,200})>", regex.S)
+# a longer stretch is a tag only with an attribute's value, so that prose after an unclosed bracket stays
+_TAG = regex.compile(r"<(?:!--.*?--|[/!]?[a-zA-Z](?:[^<>]{0,200}|[\w:-]*+(?:\s+[\w:@-]+(?:\.[\w-]+)*+)++\s*=[^<>]*))>", regex.S)
 _QUOTE = regex.compile(r"^[ \t]*(?:>[ \t]?)+", regex.M)
 _BROKEN = regex.compile(r"(?<=\p{L})[-‐­]\s*[\r\n]+\s*(?=\p{Ll})")
 _MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
