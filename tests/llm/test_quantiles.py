@@ -1,7 +1,9 @@
+import datetime as dt
 import math
 import random
 
 from wardline.llm import quantiles as q
+from wardline.llm import queries
 
 
 def test_error_bound_and_merging(spark):
@@ -27,3 +29,15 @@ def test_error_bound_and_merging(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert q.percentiles(q.sketch(df, ["g"], ["v"]), ["g"], [0.5]).count() == 0
+
+
+def test_small_values_keep_the_stated_error(spark, tmp_path):
+    values = [3e-300, -2e-9, 4.4e-7, 1.23e-5, 0.0123, 0.7, 12345.678]
+    for i, v in enumerate(values):
+        row = [("s", dt.datetime(2026, i + 1, 1), v, v, v)]
+        spark.createDataFrame(row, "source string, observed_at timestamp, feature_001 double, feature_010 double, feature_015 double").write.mode("append").parquet(str(tmp_path / "train.parquet"))
+    got = queries.p4_percentiles(spark, str(tmp_path)).collect()
+    assert len(got) == len(values) * len(queries.FEATURES) * len(queries.SHARES)
+    for r in got:
+        exact = values[r.month.month - 1]
+        assert abs(r.value - exact) <= r.relative_error * abs(exact) * (1 + 1e-4), exact

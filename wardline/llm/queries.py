@@ -46,11 +46,11 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """By source and month, from the sketches of the days."""
+    """By source and month, from the sketches of the days. Values under a half keep all digits, for the error is relative."""
     by = ["source", "month"]
     monthly = quantiles.merge(_daily(spark, sf).withColumn("month", F.trunc("day", "month")), by)
     got = quantiles.percentiles(monthly, by, SHARES)
-    return got.withColumns({"value": F.round("value", 6), "relative_error": F.lit(quantiles.ERROR)})
+    return got.withColumns({"value": F.when(F.abs("value") < 0.5, F.col("value")).otherwise(F.round("value", 6)), "relative_error": F.lit(quantiles.ERROR)})
 
 
 def p4_sketch(spark: SparkSession, sf: str) -> DataFrame:
