@@ -1,12 +1,12 @@
 """Same or near-same records across splits (problem 1).
 
-The distinct keys of both splits are the texts of one suffix array, cut into slices by the leading characters of the
-suffixes. Two keys at most two slips apart keep at least max(len) - 2 characters in at most three unbroken stretches,
-so one stretch is ceil((max(len) - 2) / 3) long: their suffixes at that stretch agree in so many characters and lie
-side by side in one slice. Every run of suffixes with such a common prefix that holds suffixes of both splits yields
-its cross-split pairs; the spans a pair shares are merged into its coverage, and the edit distance is verified.
+A seed join, not a suffix array: nothing is ordered and no longest common prefix is taken. Two keys at most two slips
+apart keep at least max(len) - 2 characters in at most three unbroken stretches, so one stretch is
+ceil((max(len) - 2) / 3) long. Every substring of that length is a seed; equal seeds (by hash, with their length) make
+a run. Every run that holds seeds of both splits yields its cross-split pairs; the seeds a pair shares are merged into
+its coverage, which shorter shared stretches do not add to, and the edit distance is verified.
 
-Runs of more than ``run_cap`` suffixes, which only keys of little variety have, yield no pairs directly, as pairs of a
+Runs of more than ``run_cap`` seeds, which only keys of little variety have, yield no pairs directly, as pairs of a
 run grow with its square. All their keys, and keys of at most eight characters, go another exact way: keys at most two
 slips apart have a string in common among those left after dropping at most two characters, and are joined on it. A
 bucket there holds keys at most four slips apart, so the work follows the result.
@@ -28,7 +28,7 @@ from wardline.session import settle
 SLIPS = 2
 #: Keys up to this length are joined on what is left after dropping characters.
 SHORT = 8
-#: Runs of more suffixes than this are joined the other way.
+#: Runs of more seeds than this are joined the other way.
 RUN_CAP = 64
 #: Hot runs kept out of the slices; bounds a broadcast.
 HOT_RUNS = 1024
@@ -41,7 +41,7 @@ def _texts(train: DataFrame, test: DataFrame, text: str) -> DataFrame:
 
 
 def _suffixes(texts: DataFrame) -> DataFrame:
-    """Suffixes by the length of the common prefix they are compared in: slice, id, at (position and splits)."""
+    """Seeds, the leading characters of suffixes in the length they are compared in: slice, id, at (position and splits)."""
     span = [f"cast(ceil((length(text) + {d} - {SLIPS}) / {SLIPS + 1}) as int)" for d in range(SLIPS + 1)]
     rows = texts.filter(f"length(text) + {SLIPS} > {SHORT}").select("id", "text", "in_train", "in_test", F.explode(F.expr(f"filter(array_distinct(array({', '.join(span)})), k -> k * {SLIPS + 1} + {SLIPS} > {SHORT} and k <= length(text))")).alias("span"))
     rows = rows.select("id", "text", "in_train", "in_test", "span", F.explode(F.expr("sequence(1, length(text) - span + 1)")).alias("pos"))
