@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from wardline.operators import learn, metrics
+from wardline.plans import reference
 
 
 def test_metrics_and_thresholds(spark):
@@ -44,3 +45,20 @@ def test_folds_are_stratified_and_learners_learn(spark):
         assert s.count() == 600 and metrics.auc(s).first()[0] > 0.7
     mixed = learn.blend(scored, "row_id", "y", "fold")
     assert mixed.columns == ["row_id", "y", "fold", "logistic", "forest", "boosted", "blend"] and mixed.count() == 600
+
+
+def test_tuning_tries_every_combination(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, 1.0, False, float(i)) for i in range(40)], "row_id bigint, y int, w double, weak boolean, a double")
+    scores = spark.createDataFrame([(0.2, 0), (0.7, 1)], "p double, y int")
+    monkeypatch.setattr(reference, "_model_rows", lambda *_: (rows, ["a"]))
+    monkeypatch.setattr(learn, "fit", lambda *_: None)
+    monkeypatch.setattr(learn, "predict", lambda *_: scores)
+    tried = {r.parameters for r in reference.tune(spark, "").collect()}
+    assert len(tried) == 8 and sum("'weak_negative': 0.5" in t for t in tried) == 4
+
+
+def test_picks_vary_every_parameter():
+    grid = {"a": [1, 2], "b": [1, 2], "c": [1, 2]}
+    some = learn.picks(grid, 4)
+    assert some == learn.picks(grid, 4) and len({tuple(p.values()) for p in some}) == 4
+    assert all({p[k] for p in some} == {1, 2} for k in grid)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
+from random import Random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -123,12 +124,17 @@ def importance(model, names: list[str], most: int) -> list[tuple[str, float]]:
     return sorted(((n, float(v)) for n, v in zip(names, values, strict=True)), key=lambda x: (-x[1], x[0]))[:most]
 
 
-def tune(train: DataFrame, valid: DataFrame, names: list[str], grid: dict[str, list], costs=(600.0, 300.0, 150.0, 5.0), trials: int = 10) -> list[tuple[dict, float, float]]:
-    """Parameters, AUC and least cost on held-out rows for some of the grid's combinations, spread over the whole grid."""
+def picks(grid: dict[str, list], trials: int, seed: int = 42) -> list[dict]:
+    """The grid's combinations, at most ``trials`` of them, in a shuffled order that is the same at every run."""
     combos = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
-    picked = combos[:: max(1, len(combos) // trials)][:trials]
+    Random(seed).shuffle(combos)
+    return combos[:trials]
+
+
+def tune(train: DataFrame, valid: DataFrame, names: list[str], grid: dict[str, list], costs=(600.0, 300.0, 150.0, 5.0), trials: int = 10) -> list[tuple[dict, float, float]]:
+    """Parameters, AUC and least cost on held-out rows for at most ``trials`` of the grid's combinations, drawn at random."""
     out = []
-    for params in picked:
+    for params in picks(grid, trials):
         weights = {k: v for k, v in params.items() if k in ("positive", "weak_negative")}
         learner = Learner("logistic", **{k: v for k, v in params.items() if k not in weights})
         model = fit(train.withColumn("w", sample_weights(F.col("y"), F.col("weak"), **weights)), names, learner)

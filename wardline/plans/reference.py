@@ -564,5 +564,5 @@ def tune(spark, sf):
     rows, names = _model_rows(spark, sf)
     split = learn.hash_split(rows, "row_id").persist()
     grid = {"penalty": [0.003, 0.03], "positive": [2.0, 4.0], "weak_negative": [0.1, 0.5]}
-    found = learn.tune(split.filter("is_validation = 0"), split.filter("is_validation = 1 and not weak"), names, grid, trials=4)
+    found = learn.tune(split.filter("is_validation = 0"), split.filter("is_validation = 1 and not weak"), names, grid)
     return spark.createDataFrame([(str(params), float(a), float(c)) for params, a, c in found], "parameters string, auc double, cost double")
