@@ -80,8 +80,9 @@ def p7_by_item(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    ranker = reading.fit(table(spark, sf, "graded_samples", "text", "band"), "text", "band")
-    return reading.levels(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", ranker)
+    docs, samples = table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "graded_samples", "text", "band")
+    wording = reading.learn_wording(docs, "doc_id", "text", samples, "text", "band")
+    return reading.levels(docs, "doc_id", "text", reading.fit(samples, "text", "band"), wording)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +90,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """What the bands rest on: measures, the ranker's score and level, and both bands."""
+    """What the bands rest on: measures, the ranker's score and level, and whether the exact check decided."""
     return _levels(spark, sf)
 
 
