@@ -51,8 +51,12 @@ def test_equals_brute_force(spark, cap):
     test += [f"anon{i:09d}" for i in range(0, 300, 7)]
     train += [None, "", train[0], train[0]]
     test += [None, "", train[0], test[1]]
-    got, _ = found(spark, train, test, cap)
+    got, rows = found(spark, train, test, cap)
     assert got == brute(train, test)
+    for r in rows:
+        a, b = train[r.train_row_id], test[r.test_row_id - 10**6]
+        assert r.distance == edits(a, b)
+        assert r.coverage == pytest.approx(len({i for s in overlap._spans(a, b) for i in range(*s)}) / len(b))
 
 
 def test_coverage_and_distance(spark):
@@ -72,18 +76,25 @@ def test_counts_equal_pairs(spark):
     assert [(r.pairs, r.exact_pairs) for r in counts] == [(6, 4)]
 
 
-def test_hot_runs_are_found_once(spark, monkeypatch, tmp_path):
-    """A pair whose only shared stretch is hot at the first evaluation of the sketch and not at later ones comes out."""
-    mark = str(tmp_path / "evaluated")
+def test_runs_across_partitions(spark):
+    """A run that fills several partitions, once as pairs and once crowded."""
+    train, test = [f"{c}{i}same-suffix-of-all" for i in range(10, 60) for c in "ab"], ["c17same-suffix-of-all"]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for cap in (overlap.RUN_CAP, 20):
+            assert found(spark, train, test, cap)[0] == brute(train, test)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
-    def once(batches):
-        import os
 
-        fresh = not os.path.exists(mark)
-        open(mark, "w").close()
-        for batch in batches:
-            yield batch if fresh else batch.slice(0, 0)
+def test_slips_equal_edits():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(9)))
+        b = damaged(rng, a, rng.randrange(5)) if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(rng.randrange(9)))
+        assert overlap.slips(a, b) == min(edits(a, b), 3), (a, b)
 
-    monkeypatch.setattr(overlap, "hot_values", lambda df, value, *_: df.select(value).distinct().coalesce(1).mapInArrow(once, "slice bigint"))
-    train, test = ["abcdefghijklmnopqrstuvwx"], ["abcdefgXijklmnopqYstuvwx"]
-    assert found(spark, train, test)[0] == brute(train, test) == {(0, 10**6)}
+
+def test_short_texts_have_coverage(spark):
+    _, rows = found(spark, ["ab", "abcd"], ["cd", "ab", "abcx"])
+    assert {(r.train_row_id, r.test_row_id - 10**6, r.coverage) for r in rows} == {(0, 0, 0.0), (0, 1, 1.0), (0, 2, 0.5), (1, 0, 1.0), (1, 1, 1.0), (1, 2, 0.75)}
