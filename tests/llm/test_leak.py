@@ -43,14 +43,16 @@ def cases():
     return items, docs
 
 
-@pytest.mark.parametrize("index_words", [leak.INDEX_WORDS, 60])
-def test_equals_brute_force(spark, index_words):
+@pytest.mark.parametrize("bits", [leak.FILTER_BITS, 64])
+def test_equals_brute_force(spark, monkeypatch, bits):
+    """Also with a map of so few bits that it thins out nothing."""
+    monkeypatch.setattr(leak, "FILTER_BITS", bits)
     items, docs = cases()
     written = lambda w: None if w is None else " ".join(w)
     texts = [(d, written(w), "x") for d, w in docs] + [(900, None, "x"), (901, "", "x"), (0, written(docs[0][1]), "again")]
     table = spark.createDataFrame(texts, "doc_id bigint, text string, item string")
     of = spark.createDataFrame([(i, written(w), "y") for i, w in items], "item_id bigint, passage string, doc string")
-    got = leak.leaks(table, "doc_id", "text", of, "item_id", "passage", index_words).collect()
+    got = leak.leaks(table, "doc_id", "text", of, "item_id", "passage").collect()
     have = {(r.item, r.doc): r.covered for r in got}
     assert len(have) == len(got)
     want = {(i, d): c for i, w in items if w for d, t in docs if 2 * (c := cover(w, t)) >= len(w) and c}
@@ -73,6 +75,24 @@ def test_long_tags_are_markup():
     assert leak.words(unclosed + "\n> and a quote") == unclosed.replace("<", "").split() + ["and", "a", "quote"]
 
 
+def test_passes_do_not_grow_with_passages(spark):
+    """Ten times the passages: as many scans of the texts, and one map of the same size."""
+    docs = spark.createDataFrame([(1, " ".join(VOCAB[:50]))], "doc_id bigint, text string")
+    many = spark.createDataFrame([(i, " ".join(VOCAB[i : i + 20])) for i in range(300)], "item_id bigint, passage string")
+    scans = []
+    for n in (30, 300):
+        read = spark.sparkContext.accumulator(0)
+
+        def seen(batches, read=read):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        assert leak.leaks(docs.mapInArrow(seen, docs.schema), "doc_id", "text", many.filter(f"item_id < {n}"), "item_id", "passage").count() == min(n, 41)
+        scans.append(read.value)
+    assert scans == [2, 2]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, passage string")
