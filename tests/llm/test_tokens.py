@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 from wardline.llm import tokens
 from wardline.llm.queries import TOKENIZERS
 
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
@@ -20,9 +22,10 @@ def reference():
 TEXTS = ["", "Hello world", "<|endoftext|> and </s>", "  two  blanks \n\n\n", "a" * 9000, "日本語テキスト" * 1500, "été naïve ﬁ", "​﻿\x00\x1c", " \n\n" * 3000 + "q", "it's we'll" * 900, "Donaudampfschiff" * 700 + " end", "\n\n" + "x" * 5000 + "\n\n" * 2500 + "y" * 5000]
 
 
-def test_equals_other_implementation(spark, reference):
+@pytest.mark.parametrize("piece", [tokens.PIECE, 700, 3])
+def test_equals_other_implementation(spark, reference, piece):
     rows = [(i, t, "ids") for i, t in enumerate(TEXTS)] + [(100, None, ""), (None, "null id", ""), (1, "Hello world", "again")]
-    got = tokens.encode(spark.createDataFrame(rows, "doc_id bigint, text string, ids string"), "doc_id", "text", RANKS, long=2000, piece=700)
+    got = tokens.encode(spark.createDataFrame(rows, "doc_id bigint, text string, ids string"), "doc_id", "text", RANKS, piece)
     assert dict(got.dtypes)["ids"] == "array<int>"
     have = sorted(((r.doc_id if r.doc_id is not None else -1), list(r.ids)) for r in got.collect())
     want = sorted(((-1 if i is None else i), reference(t) if t else []) for i, t, _ in rows)
@@ -32,15 +35,36 @@ def test_equals_other_implementation(spark, reference):
 def test_pieces_join_exactly():
     coder = tokens.coder(open(RANKS, "rb").read())
     rng = random.Random(3)
-    parts = ["ab" * 20, " ", "\n", "  \n", "'s", "'l", "9" * 30, "é日", "!", " x", "\t" * 9, "࢏\x1c", "aaaaa", "ing"]
-    for _ in range(200):
+    parts = ["ab" * 20, " ", "\n", "  \n", "'s", "'l", "9" * 30, "é日", "!", " x", "\t" * 9, "࢏\x1c", "aaaaa", "ing", "'", "\u3000", "\x85", "\x1d", "́" * 3, "😀", "²", "日本語の"]
+    joined = 0
+    for _ in range(600):
         text = "".join(rng.choice(parts) for _ in range(60))
-        cuts = tokens.cut(text, rng.choice([1, 3, 7, 20]))
-        assert "".join(c[2] for c in cuts) == text
-        stretches = {}
-        for stretch, part, piece in cuts:
-            stretches.setdefault(stretch, []).append(coder._encode_single_piece(piece) if part else coder.encode_ordinary(piece))
-        assert [i for s in stretches.values() for i in tokens.join_tree(s, coder)] == coder.encode_ordinary(text)
+        piece = rng.choice([1, 3, 7, 20])
+        cuts = tokens.cut(text, piece)
+        assert "".join(c if isinstance(c, str) else "".join(c) for c in cuts) == text
+        joined += sum(not isinstance(c, str) for c in cuts)
+        assert tokens.encode_text(text, coder, piece) == coder.encode_ordinary(text), text
+    assert joined > 1000
+
+
+def test_threads_change_nothing(monkeypatch):
+    coder = tokens.coder(open(RANKS, "rb").read())
+    text = ("Lorem " + "donaudampfschiff" * 40 + " 日本語" * 30) * 5
+    monkeypatch.setattr(tokens, "MANY", 10)
+    assert tokens.encode_text(text, coder) == coder.encode_ordinary(text)
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="needs the test tables")
+def test_documents_have_joins(reference):
+    """Texts of the corpus hold unsplit runs longer than a piece, and come out as by the other implementation."""
+    import pyarrow.parquet as pq
+
+    coder = tokens.coder(open(RANKS, "rb").read())
+    texts = [t for t in pq.read_table(DOCUMENTS, columns=["text"])["text"].to_pylist() if t]
+    joined = [t for t in texts if any(not isinstance(c, str) for c in tokens.cut(t))]
+    assert len(joined) >= 5
+    for t in joined:
+        assert tokens.encode_text(t, coder) == reference(t)
 
 
 def test_empty_table(spark):

@@ -1,11 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE (problem 6).
 
-Texts up to ``LONG`` characters are encoded as they are, batch by batch, without a shuffle. Longer ones are cut into
-pieces, which travel to all tasks and are encoded in parallel. A cut lies where the splitting pattern ends a stretch at
-a character that is no blank; such pieces' ids just follow each other. A stretch that the pattern leaves unsplit is cut
-anywhere between characters, and its parts are joined as a tree: around each join a growing window of ids from both
-sides is encoded again until it begins with the left side's id and ends with the right side's. As a sequence of ids is
-the encoding of its bytes exactly if each pair of neighbours is the encoding of theirs, the joined sequence is exact.
+Texts are read once and encoded where they are read, without a shuffle. The splitting pattern keeps runs of letters,
+digits, signs or blanks together, and the encoder's work on one unsplit run grows faster than its length. Every run over
+``PIECE`` characters is therefore set apart and encoded by tree concatenation: it is cut into pieces, whose ids are found
+independently, and neighbours are joined in pairs, level by level: around each join a growing window of ids
+from both sides is encoded again until it begins with the left side's id and ends with the right side's. As a sequence of
+ids is the encoding of its bytes exactly if each pair of neighbours is the encoding of theirs, the joined sequence is
+exact. What lies between two such runs is encoded as it is; the encoder lets other threads run meanwhile, so the pieces of a
+text with at least ``MANY`` of them are encoded by ``THREADS`` threads side by side.
 
 Defined results: a null and an empty text give an empty list. All characters are plain text, also those of special
 tokens. Repeated rows come out as often as they go in; a null id stays null. No rows, no result.
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BLANK = regex.compile(r"\s")
-#: Characters from which a text is cut into pieces, and of a piece.
-LONG, PIECE = 16384, 4096
+#: Characters of a piece, and of the longest run that is encoded as it is.
+PIECE = 32
+#: Pieces of a text from which threads encode them side by side, and how many threads.
+MANY, THREADS = 4096, 4
 #: Bytes that a vocabulary may have, as every task is sent it.
 VOCABULARY_BYTES = 64 << 20
 
@@ -46,55 +49,83 @@ def _sure(text: str) -> bool:
     return text.isascii() or all(unicodedata.category(c) != "Cn" for c in text)
 
 
-def cut(text: str, piece: int = PIECE) -> list[tuple[int, bool, str]]:
-    """Pieces of a text in order: number of the stretch, whether the stretch goes on over several pieces, piece."""
-    out: list[tuple[int, bool, str]] = []
-    begin, blanks = 0, []  # blanks: stretches of blanks right before this one, at which a text must not end
-    for match in regex.finditer(PATTERN, text):
+_BLANK = regex.compile(r"\p{White_Space}")
+
+
+@lru_cache(maxsize=8)
+def _long_runs(piece: int) -> regex.Pattern:
+    """Runs of letters, digits or signs, longer than a piece."""
+    return regex.compile("|".join(rf"{kind}{{{piece + 1},}}+" for kind in (r"\p{L}", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]")))
+
+
+def cut(text: str, piece: int = PIECE) -> list[str | list[str]]:
+    """Parts of a text in order: a text to be encoded as it is, or the pieces of one unsplit run.
+
+    The pattern matches a run at once, with the one space that may stand before it; other blanks before a run are split
+    from it, the last of them by itself. After a run the pattern begins anew. Letters after an apostrophe may lose some to
+    it, so they make no run.
+    """
+    out: list[str | list[str]] = []
+    begin = 0
+    for match in _long_runs(piece).finditer(text):
         start, end = match.span()
-        sure = _sure(text[max(start - 1, 0) : start + 1])
-        unsplit = end - start > piece and sure and _sure(text[start : end + 1])
-        if unsplit or sure and not blanks and start - begin >= piece:
-            until = blanks[0][0] if blanks else start
-            if until > begin:
-                out.append((len(out), False, text[begin:until]))
-            for a, b in blanks:
-                out.append((len(out), True, text[a:b]))
-            begin, blanks = start, []
-        if unsplit:
-            stretch = len(out)
-            out += [(stretch, True, text[at : min(at + piece, end)]) for at in range(start, end, piece)]
-            begin = end
-        elif _BLANK.match(text[end - 1]):
-            blanks.append((start, end))
-        else:
-            blanks = []
+        if not _sure(text[max(start - 1, 0) : end + 1]) or start and text[start - 1] == "'":
+            continue
+        parts = []
+        if start > begin and text[start - 1] == " ":
+            start -= 1
+        elif start > begin and _BLANK.match(text[start - 1]):
+            parts = [text[start - 1]]
+        before = text[begin : start - len(parts)]
+        out += [x for x in (before, *parts) if x]
+        out.append([text[at : min(at + piece, end)] for at in range(start, end, piece)])
+        begin = end
     if begin < len(text):
-        out.append((len(out), False, text[begin:]))
+        out.append(text[begin:])
     return out
 
 
+def _boundary(byte: int) -> bool:
+    """Whether a character begins at this byte."""
+    return byte & 0xC0 != 0x80
+
+
 def join(left: list[int], right: list[int], encoding) -> list[int]:
-    """The ids of one unsplit stretch from the ids of its two parts."""
+    """The ids of one unsplit run from the ids of its two parts."""
     window = 4
     while True:
         a, b = left[-window:], right[:window]
-        ids = encoding._encode_single_piece(encoding.decode_bytes(a + b))
-        left_agrees = window >= len(left) or ids[0] == a[0]
-        right_agrees = window >= len(right) or ids[-1] == b[-1]
-        if left_agrees and right_agrees and (len(ids) > 1 or window >= len(left) and window >= len(right)):
-            return left[: len(left) - len(a)] + ids + right[len(b) :]
+        whole = window >= len(left) and window >= len(right)
+        data = encoding.decode_bytes(a + b)
+        after = encoding.decode_single_token_bytes(right[window]) if window < len(right) else b""
+        if whole or _boundary(data[0]) and (not after or _boundary(after[0])):
+            ids = encoding.encode_ordinary(data.decode())
+            left_agrees = window >= len(left) or ids[0] == a[0]
+            right_agrees = window >= len(right) or ids[-1] == b[-1]
+            if left_agrees and right_agrees and (len(ids) > 1 or whole):
+                return left[: len(left) - len(a)] + ids + right[len(b) :]
         window *= 2
 
 
 def join_tree(parts: list[list[int]], encoding) -> list[int]:
-    """The ids of one unsplit stretch from those of all its parts, joined in pairs."""
+    """The ids of one unsplit run from those of all its parts, joined in pairs."""
     while len(parts) > 1:
         parts = [join(*parts[i : i + 2], encoding) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0]
 
 
-def encode(docs: DataFrame, ident: str, text: str, ranks_path: str, long: int = LONG, piece: int = PIECE) -> DataFrame:
+def encode_text(text: str, encoding, piece: int = PIECE) -> list[int]:
+    """The ids of a text."""
+    parts = cut(text, piece)
+    flat = [p for part in parts for p in ([part] if isinstance(part, str) else part)]
+    ids = iter(encoding.encode_ordinary_batch(flat, num_threads=THREADS) if len(flat) >= MANY else map(encoding.encode_ordinary, flat))
+    out: list[int] = []
+    for part in parts:
+        out += next(ids) if isinstance(part, str) else join_tree([next(ids) for _ in part], encoding)
+    return out
+
+
+def encode(docs: DataFrame, ident: str, text: str, ranks_path: str, piece: int = PIECE) -> DataFrame:
     """ident and ids (array<int>) of every row."""
     spark = docs.sparkSession
     with open(ranks_path, "rb") as file:
@@ -103,45 +134,11 @@ def encode(docs: DataFrame, ident: str, text: str, ranks_path: str, long: int =
         raise ValueError("the vocabulary is too large to be sent to every task")
     sent = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[ident].dataType.simpleString()
-    ids_type = pa.list_(pa.int32())
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = coder(sent.value)
-        for batch in batches:
-            ids = [encoding.encode_ordinary(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(ids, ids_type)], names=[ident, "ids"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                cuts = cut(t, piece)
-                n = len(cuts)
-                same = lambda column: batch.column(column).take(pa.array([i] * n))  # noqa: B023, E731
-                yield pa.record_batch([same(0), same(1), pa.array(range(n), pa.int32()), pa.array([c[0] for c in cuts], pa.int32()), pa.array([c[1] for c in cuts]), pa.array([c[2] for c in cuts])], names=["_row", ident, "no", "stretch", "part", "piece"])
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(sent.value)
         for batch in batches:
-            rows = zip(batch.column("part").to_pylist(), batch.column("piece").to_pylist(), strict=True)
-            ids = [encoding._encode_single_piece(t) if part else encoding.encode_ordinary(t) for part, t in rows]
-            yield pa.record_batch([*batch.columns[:5], pa.array(ids, ids_type)], names=["_row", ident, "no", "stretch", "part", "ids"])
+            ids = [encode_text(t, encoding, piece) if t else [] for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[ident, "ids"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = coder(sent.value)
-        for batch in batches:
-            out = []
-            for parts in batch.column("parts").to_pylist():
-                stretches: dict[int, list[list[int]]] = {}
-                for p in parts:
-                    stretches.setdefault(p["stretch"], []).append(p["ids"])
-                out.append([i for s in stretches.values() for i in join_tree(s, encoding)])
-            yield pa.record_batch([batch.column(0), pa.array(out, ids_type)], names=[ident, "ids"])
-
-    rows = docs.select(F.col(ident), F.col(text).alias("text"))
-    result = f"`{ident}` {kind}, ids array<int>"
-    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= long).mapInArrow(whole, result)
-    cuts = rows.filter(F.length("text") > long).select(F.monotonically_increasing_id().alias("_row"), ident, "text")
-    cuts = cuts.mapInArrow(pieces, f"_row bigint, `{ident}` {kind}, no int, stretch int, part boolean, piece string").repartition("_row", "no")
-    parts = cuts.mapInArrow(encoded, f"_row bigint, `{ident}` {kind}, no int, stretch int, part boolean, ids array<int>")
-    by_text = parts.groupBy("_row", ident).agg(F.array_sort(F.collect_list(F.struct("no", "stretch", "ids"))).alias("parts"))
-    return short.unionByName(by_text.select(ident, "parts").mapInArrow(joined, result))
+    return docs.select(F.col(ident), F.col(text)).mapInArrow(read, f"`{ident}` {kind}, ids array<int>")
