@@ -39,7 +39,6 @@ SHORT = 8
 #: Runs of more suffixes than this are joined the other way.
 RUN_CAP = 1024
 
-_ROW = "length int, suffix string, head string, in_test int"
 _OUT = "kind int, train_text string, test_text string, begin int, until int, length int, suffix string, head string, in_test int"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("train_text", pa.string()), ("test_text", pa.string()), ("begin", pa.int32()), ("until", pa.int32()), ("length", pa.int32()), ("suffix", pa.string()), ("head", pa.string()), ("in_test", pa.int32())])
 #: Kinds of rows that come out of the array: a pair's span, a suffix of a run that may go on, a text of a crowded run.
@@ -52,21 +51,29 @@ def _texts(train: DataFrame, test: DataFrame, text: str) -> DataFrame:
     return both.groupBy("text").agg(F.max("in_train").alias("in_train"), F.max("in_test").alias("in_test"))
 
 
+def _of_train(m: int) -> list[tuple[int, int]]:
+    """Length and beginning of the thirds of a train text of m characters."""
+    return [(m // (SLIPS + 1), i * m // (SLIPS + 1)) for i in range(SLIPS + 1)] if m > SHORT else []
+
+
+def _of_test(n: int) -> list[tuple[int, int]]:
+    """Length of, and where there can stand in a test text of n characters, the thirds of train texts of any length.
+
+    Slips left of a third move it by s places at least, slips right of it make up for the rest of the difference.
+    """
+    apart = range(-SLIPS, SLIPS + 1)
+    return sorted({(size, at + s) for d in apart for size, at in _of_train(n + d) for s in apart if abs(s) + abs(s + d) <= SLIPS and 0 <= at + s <= n - size})
+
+
 def _suffixes(texts: DataFrame) -> DataFrame:
     """The suffixes that the array holds: length (of the third), suffix, head (what precedes it), in_test."""
-    third = lambda m: f"cast({m} / {SLIPS + 1} as int)"
-    start = lambda m, i: f"cast({i} * {m} / {SLIPS + 1} as int)"
-    of_train = f"transform(sequence(0, {SLIPS}), i -> struct({third('length(text)')} as length, {start('length(text)', 'i')} as at))"
-    # for every length m that a train text may have and every third, the places it can come to: slips left of it and
-    # slips right of it are at most two together
-    of_test = f"""array_distinct(filter(flatten(flatten(transform(sequence(-{SLIPS}, {SLIPS}), d -> transform(sequence(0, {SLIPS}), i ->
-        transform(filter(sequence(-{SLIPS}, {SLIPS}), s -> abs(s) + abs(s + d) <= {SLIPS}),
-            s -> struct({third('(length(text) + d)')} as length, {start('(length(text) + d)', 'i')} + s as at, length(text) + d as m)))))),
-        p -> p.m > {SHORT} and p.at >= 0 and p.at + p.length <= length(text)))"""
-    of_test = f"array_distinct(transform({of_test}, p -> struct(p.length as length, p.at as at)))"
-    rows = lambda split, places, flag, more: texts.filter(F.expr(f"{split} = 1 and {more}")).select("text", F.explode(F.expr(places)).alias("p"), F.lit(flag).alias("in_test"))
-    both = rows("in_train", of_train, 0, f"length(text) > {SHORT}").unionByName(rows("in_test", of_test, 1, f"length(text) + {SLIPS} > {SHORT}"))
-    return both.select("p.length", F.expr("substring(text, p.at + 1)").alias("suffix"), F.expr("substring(text, 1, p.at)").alias("head"), "in_test")
+    lengths = [r["n"] for r in texts.select(F.length("text").alias("n")).distinct().collect()]
+    places = [(n, flag, [{"length": size, "at": at} for size, at in of(n)]) for n in lengths for flag, of in ((0, _of_train), (1, _of_test))]
+    # a row for every length that a text has, with no more places than slips allow
+    known = texts.sparkSession.createDataFrame(places, "n int, in_test int, places array<struct<length: int, at: int>>")
+    sides = texts.select("text", F.length("text").alias("n"), F.explode(F.expr("filter(array(if(in_train = 1, 0, null), if(in_test = 1, 1, null)), x -> x is not null)")).alias("in_test"))
+    rows = sides.join(F.broadcast(known), ["n", "in_test"]).select("text", "in_test", F.explode("places").alias("p"))
+    return rows.select("p.length", F.expr("substring(text, p.at + 1)").alias("suffix"), F.expr("substring(text, 1, p.at)").alias("head"), "in_test")
 
 
 def slips(a: str, b: str) -> int:
