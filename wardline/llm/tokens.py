@@ -65,6 +65,8 @@ def cut(text: str, piece: int = PIECE) -> list[str | list[str]]:
     from it, the last of them by itself. After a run the pattern begins anew. Letters after an apostrophe may lose some to
     it, so they make no run.
     """
+    if max(map(len, text.split()), default=0) <= piece:  # a run has no blanks, so there is none
+        return [text]
     out: list[str | list[str]] = []
     begin = 0
     for match in _long_runs(piece).finditer(text):
