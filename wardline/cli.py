@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import graph, learn, metrics, people, scoring, tabular
-from wardline.session import session
+from wardline.session import session, settle
 from wardline.sources import files
 
 LEARNERS = {"logistic": learn.Learner("logistic"), "boosted": learn.Learner("boosted", rounds=40), "forest": learn.Learner("forest", rounds=60, depth=8)}
@@ -38,15 +38,18 @@ def featured(rows: DataFrame, users: DataFrame, labels: DataFrame, links: DataFr
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     test = people.cleaned(files.read_users(spark, locate("test.csv", args.test)))
     if args.validate:
-        wrong = files.violations(files.read_text(spark, args.validate).withColumn("prediction", F.expr("try_cast(prediction as double)")), test)
-        problems = wrong.collect()
+        problems = files.malformed(spark, args.validate).collect()
+        if not any(p.violation == "bad header" for p in problems):
+            read = files.read_text(spark, args.validate).withColumn("prediction", F.expr("try_cast(prediction as double)"))
+            problems += files.violations(read, test).collect()
         for p in problems:
             print(f"{p.violation}: {p.n} ({p.examples})")
         return int(bool(problems))
     train = people.cleaned(files.read_users(spark, locate("train.csv", args.train)))
-    for name in ("observed_at", "row_id"):
-        if name not in train.columns:  # CSV tables have neither; the hash of a row stands for its place
-            train = train.withColumn(name, F.xxhash64(*people.feature_columns(train), "user_hash"))
+    if "row_id" not in train.columns:  # CSV tables have none: the place in the file, so that the last row counts
+        train = settle(train.withColumn("row_id", F.monotonically_increasing_id()))
+    if "observed_at" not in train.columns:
+        train = train.withColumn("observed_at", F.col("row_id"))
     labels = people.user_labels(train)
     weak = people.weak_negative() if not args.no_pseudo else F.lit(False)
     rows = train.withColumns({"y": people.label_class(), "weak": weak}).filter("y is not null or weak")

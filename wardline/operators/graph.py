@@ -6,13 +6,23 @@ user combine before the shuffle. Users without links get 0 for counts and null f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.scalars import flag, ratio, zero
+from wardline.functions.scalars import flag, ratio, total, zero
 from wardline.operators.skew import hot_list, lookup
 from wardline.session import release, settle
 
+#: Rounds of a loop after which its state is written down.
+WRITTEN = 3
+#: Links that a task contracts at once.
+CONTRACTED = 1_000_000
+
 
 def per_user(users: DataFrame, counts: DataFrame) -> DataFrame:
     """counts (by u) for every user; missing counts are 0, other columns null."""
@@ -37,6 +47,24 @@ def one_hop(users: DataFrame, both: DataFrame, labels: DataFrame, hot: list | No
     return n.select("key", "degree", F.log1p(F.col("degree").cast("double")).alias("log_degree"), "cheater", "clean", "labeled", ratio(F.col("cheater"), F.col("labeled")).alias("cheat_rate"), (F.col("cheater") > 0).cast("int").alias("has_cheater"))
 
 
+#: Features that without_fold gives.
+FOLD_FEATURES = ["degree", "log_degree", "cheater", "clean", "labeled", "cheat_rate", "has_cheater"]
+
+
+def counts_by_fold(users: DataFrame, both: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """degree, and cheater and clean neighbours of every user by the fold of the neighbour; labels: key, y, fold."""
+    state = labels.select(F.col("key").alias("v"), F.struct("y", "fold").alias("s"))
+    seen = lookup(both, state, "v", "s")
+    of = lambda y, name: [F.count_if((F.col("s.y") == y) & (F.col("s.fold") == k)).alias(f"{name}_of_{k}") for k in range(folds)]
+    return per_user(users, seen.groupBy("u").agg(F.count(F.lit(1)).alias("degree"), *of(1, "cheater"), *of(0, "clean")))
+
+
+def without_fold(k: int, folds: int) -> dict[str, Column]:
+    """The neighbour features that a model of fold k may see: those of the other folds' labels."""
+    cheater, clean = (total([F.col(f"{name}_of_{i}") for i in range(folds) if i != k]) for name in ("cheater", "clean"))
+    return {"log_degree": F.log1p(F.col("degree").cast("double")), "cheater": cheater, "clean": clean, "labeled": cheater + clean, "cheat_rate": ratio(cheater, cheater + clean), "has_cheater": (cheater > 0).cast("int")}
+
+
 def known_neighbours(users: DataFrame, both: DataFrame, labels: DataFrame, hot: list | None = None) -> DataFrame:
     """degree, known neighbours (labelled or passing for clean), cheaters among them and their share, 0 without any."""
     known = labels.select(F.col("key").alias("v"), F.when(F.col("weak"), 0).otherwise(F.col("y")).alias("y"))
@@ -137,7 +165,9 @@ def clustering(users: DataFrame, one: DataFrame) -> DataFrame:
     """
     plain = settle(one.filter("u != v"))
     degree = plain.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    with_degrees = lookup(plain, degree.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v", "kv").join(degree.withColumnRenamed("k", "ku"), "u")
+    hot = hot_list(plain, "v")  # links stand both ways, so these are hot as u as well
+    with_degrees = lookup(plain, degree.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v", "kv", hot)
+    with_degrees = lookup(with_degrees, degree.withColumnRenamed("k", "ku"), "u", "ku", hot)
     out = settle(with_degrees.filter((F.col("ku") < F.col("kv")) | ((F.col("ku") == F.col("kv")) & (F.col("u") < F.col("v")))).select("u", "v"))
     wedge = out.alias("x").join(out.alias("y"), F.col("x.u") == F.col("y.u")).filter("x.v < y.v").select(F.col("x.u").alias("p"), F.col("x.v").alias("q"), F.col("y.v").alias("r"))
     closed = out.select(F.least("u", "v").alias("q"), F.greatest("u", "v").alias("r"))
@@ -146,13 +176,16 @@ def clustering(users: DataFrame, one: DataFrame) -> DataFrame:
     return found.select("key", "triangles", F.when(F.col("k") > 1, 2.0 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def _rounds(state: DataFrame, step, rounds: int) -> DataFrame:
-    """state, a settled table, after so many steps, each written down, so that plans stay short and a lost executor
-    costs one step."""
-    for _ in range(rounds):
-        after = settle(step(state))
-        release(state)
-        state = after
+def _rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """state, a settled table, after so many steps; every few it is written down, so that plans stay short and a lost
+    executor costs those few. Steps between reuse each other's shuffles."""
+    written = state
+    for i in range(1, rounds + 1):
+        state = step(state)
+        if i % WRITTEN == 0 or i == rounds:
+            state = settle(state)
+            release(written)
+            written = state
     return state
 
 
@@ -161,9 +194,8 @@ def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, round
 
     All move at once. Users without links keep their score; a neighbour that is no user scores 0.5.
     """
-    mine = one.join(users.select(F.col("key").alias("u")), "u", "left_semi")
-    start = users.join(labels.select("key", "y"), "key", "left").select("key", "y", F.coalesce(F.col("y").cast("double"), F.lit(0.5)).alias("score"))
-    mine, start = settle(mine), settle(start)
+    mine = settle(one.join(users.select(F.col("key").alias("u")), "u", "left_semi"))
+    start = settle(users.join(labels.select("key", "y"), "key", "left").select("key", "y", F.coalesce(F.col("y").cast("double"), F.lit(0.5)).alias("score")))
     hot = hot_list(mine, "v") if hot is None else hot
 
     def step(state: DataFrame) -> DataFrame:
@@ -178,6 +210,7 @@ def label_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, round
 def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds: int = 25, damping: float = 0.85, hot: list | None = None) -> DataFrame:
     """Risk that flows from cheaters along links, shared among a neighbour's links, scaled to a greatest value of 1
     after each round. Neighbours that are no users give none; users without links keep theirs."""
+    one = settle(one)
     degree = one.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
     mine = settle(one.join(users.select(F.col("key").alias("u")), "u", "left_semi"))
     start = users.join(labels.select("key", "y"), "key", "left").join(degree.withColumnRenamed("u", "key"), "key", "left")
@@ -199,32 +232,84 @@ def risk_propagation(users: DataFrame, one: DataFrame, labels: DataFrame, rounds
     return state.select("key", "risk")
 
 
-def components(nodes: DataFrame, one: DataFrame) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every node of a task's links the least node that they join it with; in turns of CONTRACTED links."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = pa.chunked_array([b.column(i) for i in (0, 1) for b in held]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        a, b = np.split(place[ends.indices.to_numpy()], 2)
+        least = np.arange(len(order))
+        while True:
+            low = np.minimum(least[a], least[b])
+            before = least.copy()
+            for end in (a, b):
+                np.minimum.at(least, least[end], low)
+                np.minimum.at(least, end, low)
+            least = least[least]
+            if np.array_equal(least, before):
+                names = ends.dictionary.take(order)
+                return pa.record_batch([names, names.take(pa.array(least))], names=["key", "least"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        rows += batch.num_rows
+        if rows >= CONTRACTED:
+            yield joined(held)
+            held, rows = [], 0
+    if rows:
+        yield joined(held)
+
+
+def components(nodes: DataFrame, one: DataFrame, held: int = CONTRACTED) -> DataFrame:
     """key, component: the smallest key each node is linked with, directly or through others.
 
-    Every round each node takes the smallest label around it, whole groups move to the smallest label that any member
-    saw, and labels jump to their label's label; groups at least halve, so rounds grow with the logarithm of chains.
+    First every task joins the nodes of its own links to the least of their part; a node that several tasks know links
+    their parts, and only these few links are left. If one task can hold them it joins them at once. Otherwise every
+    round each part takes the smallest label around it, whole groups move to the smallest label that any member saw, and
+    labels jump to their label's label; groups at least halve, so rounds grow with the logarithm of chains.
     """
-    links = settle(one.filter("u != v"))
-    state = settle(nodes.select("key", F.col("key").alias("label")))
+    parts = settle(one.filter("u < v").mapInArrow(_contract, "key string, least string"))
+    first = parts.groupBy("key").agg(F.min("least").alias("part"))
+    apart = parts.join(first, "key").filter("least != part").select(F.col("least").alias("a"), F.col("part").alias("b")).distinct()
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    apart = settle(apart)
+    if apart.count() <= held:
+        named = settle(apart.coalesce(1).mapInArrow(_contract, "key string, label string"))
+    else:
+        named = _hooked(settle(apart.select(F.explode(ways).alias("e")).select("e.u", "e.v")))
+    mine = nodes.join(first, "key", "left").select("key", F.coalesce("part", "key").alias("part"))
+    found = lookup(mine, named.select(F.col("key").alias("part"), "label"), "part", "label")
+    return found.select("key", F.coalesce("label", "part").alias("component"))
+
+
+def _hooked(links: DataFrame) -> DataFrame:
+    """key, label: the smallest node linked with each node of the links, a settled table of both directions."""
+    state = settle(links.select(F.col("u").alias("key")).distinct().select("key", F.col("key").alias("label")))
+    hot = hot_list(links, "v")
     while True:
-        around = links.join(state.select(F.col("key").alias("v"), F.col("label").alias("seen")), "v").groupBy(F.col("u").alias("key")).agg(F.min("seen").alias("seen"))
-        least = state.join(around, "key", "left").select("key", "label", F.least("label", "seen").alias("least"))
-        hooks = least.groupBy("label").agg(F.min("least").alias("hook"))
-        moved = lookup(least, hooks, "label", "hook").select("key", "label", F.least("least", "hook").alias("next"))
-        moved = settle(moved)
+        seen = lookup(links, state.select(F.col("key").alias("v"), F.col("label").alias("seen")), "v", "seen", hot)
+        around = seen.groupBy(F.col("u").alias("key")).agg(F.min("seen").alias("seen"))
+        least = settle(state.join(around, "key", "left").select("key", "label", F.least("label", "seen").alias("least")))
+        hooks = least.groupBy("label").agg(F.min("least").alias("hook"), F.count(F.lit(1)).alias("n"))
+        large = [r["label"] for r in hooks.filter("n >= 1000").orderBy(F.desc("n")).limit(256).collect()]
+        moved = settle(lookup(least, hooks, "label", "hook", large).select("key", "label", F.least("least", "hook").alias("next")))
         parents = moved.select(F.col("key").alias("next"), F.col("next").alias("up"))
         jumped = settle(lookup(moved, parents, "next", "up").select("key", "label", F.coalesce("up", "next").alias("next")))
-        release(moved)
-        changed = jumped.filter("label != next").limit(1).count()
-        release(state)
+        changed = not jumped.filter("label != next").isEmpty()
+        for done in (state, least, moved):
+            release(done)
         state = jumped.select("key", F.col("next").alias("label"))
         if not changed:
-            return state.select("key", F.col("label").alias("component"))
+            return state
 
 
 def component_stats(parts: DataFrame, users: DataFrame, labels: DataFrame) -> DataFrame:
     """Size of each user's component over all nodes, its logarithm, and the cheat rate among labelled users in it."""
+    parts = settle(parts)
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
     marked = users.join(parts, "key").join(labels.select("key", "y"), "key", "left")
     rates = marked.groupBy("component").agg(F.avg("y").alias("component_cheat_rate"))
@@ -255,8 +340,8 @@ def degree_centrality(users: DataFrame, one: DataFrame) -> DataFrame:
     return degrees(users, one).select("key", (F.col("degree") / F.lit(float(max(n - 1, 1)))).alias("centrality"))
 
 
-def edges_to_class(users: DataFrame, both: DataFrame, labels: DataFrame, y: int) -> DataFrame:
-    """Links of each user to users of a class."""
-    class_keys = labels.filter(F.col("y") == y).select(F.col("key").alias("v"))
-    return per_user(users, both.join(class_keys, "v", "left_semi").groupBy("u").agg(F.count(F.lit(1)).alias("edges")))
-
+def edges_to_classes(users: DataFrame, both: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of each user to cheaters and to clean users; the links are read once."""
+    seen = lookup(both, labels.select(F.col("key").alias("v"), "y"), "v", "y")
+    counts = seen.groupBy("u").agg(F.count_if(F.col("y") == 1).alias("edges_to_cheaters"), F.count_if(F.col("y") == 0).alias("edges_to_clean"))
+    return per_user(users, counts)

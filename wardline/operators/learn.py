@@ -6,6 +6,7 @@ forests stand for the boosting libraries' learners; they play the same part with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -21,13 +22,18 @@ from pyspark.sql import functions as F
 
 from wardline.operators import metrics
 
+#: What the model of a fold sees of rows.
+View = Callable[[DataFrame, int], DataFrame]
+#: Rows of a class, about, that a task puts in order when folds are dealt.
+DEALT = 1000
 #: Stands for a missing value in trees.
 SENTINEL = -999.0
 
 
 @dataclass
 class Learner:
-    """A way to fit: 'logistic', 'boosted' or 'forest', with its parameters."""
+    """A way to fit: 'logistic', 'boosted' or 'forest', with its parameters; boosting stops early where rows are set
+    aside for that."""
 
     kind: str
     rounds: int = 20
@@ -55,24 +61,31 @@ def hash_split(df: DataFrame, ident: str, share_percent: int = 20) -> DataFrame:
 def stratified_folds(df: DataFrame, ident: str, y: str = "y", folds: int = 5) -> DataFrame:
     """df with fold 0 to folds - 1, each class spread evenly in the order of a multiplicative hash of the row's number.
 
-    Rows are dealt within blocks of a hash, so that no task orders a whole class; blocks start at different folds.
+    Rows are dealt within blocks of a hash, as many as it takes for about DEALT rows each, so that no task orders a whole
+    class; blocks start at different folds.
     """
-    block = F.pmod(_small(ident) * 7919, F.lit(64))
+    block = F.pmod(_small(ident) * 7919, F.lit(max(64, df.count() // DEALT)))
     order = W.partitionBy(y, block).orderBy(F.pmod(_small(ident) * 104729, F.lit(1000003)), ident)
     return df.withColumn("fold", F.pmod(F.row_number().over(order) + block, F.lit(folds)).cast("int"))
 
 
+def fold_of_user(key, folds: int = 5):
+    """A user's fold, from a hash of its key, so that a user's rows are never on both sides."""
+    return F.pmod(F.xxhash64(key, F.lit(folds)), F.lit(folds)).cast("int")
+
+
 def class_balance(df: DataFrame, factor: float = 1.0) -> float:
     """Negatives per positive, times a factor."""
     n = df.agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos")).first()
     return factor * n["neg"] / max(n["pos"], 1)
 
 
-def _pipeline(learner: Learner, names: list[str]) -> Pipeline:
+def _pipeline(learner: Learner, names: list[str], aside: str | None = None) -> Pipeline:
     assemble = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="error")
     common = {"featuresCol": "raw", "labelCol": "y", "weightCol": "w"}
     if learner.kind == "boosted":
-        return Pipeline(stages=[assemble, GBTClassifier(maxIter=learner.rounds, maxDepth=learner.depth, stepSize=learner.rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=learner.seed, **common)])
+        stop = {"validationIndicatorCol": aside, "validationTol": 0.001} if aside else {}
+        return Pipeline(stages=[assemble, GBTClassifier(maxIter=learner.rounds, maxDepth=learner.depth, stepSize=learner.rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=learner.seed, **common, **stop)])
     if learner.kind == "forest":
         return Pipeline(stages=[assemble, RandomForestClassifier(numTrees=learner.rounds, maxDepth=learner.depth, seed=learner.seed, **common)])
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
@@ -84,24 +97,34 @@ def prepared(df: DataFrame, names: list[str]) -> DataFrame:
     return df.fillna(SENTINEL, names)
 
 
-def fit(train: DataFrame, names: list[str], learner: Learner):
-    """A fitted pipeline; train has y and w and no nulls in names."""
-    return _pipeline(learner, names).fit(train)
+def fit(train: DataFrame, names: list[str], learner: Learner, aside: str | None = None):
+    """A fitted pipeline; train has y and w and no nulls in names. Boosting stops when the rows that the column ``aside``
+    marks are predicted no better."""
+    return _pipeline(learner, names, aside).fit(train)
 
 
 def predict(model, df: DataFrame, *keep: str) -> DataFrame:
     return model.transform(df).select(*keep, F.round(vector_to_array("probability")[1], 6).alias("p"))
 
 
-def out_of_fold(folded: DataFrame, names: list[str], learner: Learner, ident: str, folds: int = 5) -> tuple[DataFrame, list]:
-    """ident, fold, y, p of every row by the model that has not seen it, and the models."""
-    models = [fit(folded.filter(F.col("fold") != k), names, learner) for k in range(folds)]
-    return reduce(DataFrame.unionByName, [predict(m, folded.filter(F.col("fold") == k), ident, "fold", "y") for k, m in enumerate(models)]), models
+def out_of_fold(folded: DataFrame, names: list[str], learner: Learner, ident: str, folds: int = 5, view: View = lambda df, _: df) -> tuple[DataFrame, list]:
+    """ident, fold, y, p of every row by the model that has not seen it, and the models.
+
+    The rows that tell boosting when to stop are those of the next fold, so those that it predicts take no part in that.
+    """
+    models, scores = [], []
+    for k in range(folds):
+        seen = view(folded, k)
+        rest = seen.filter(F.col("fold") != k)
+        aside = {"aside": "_aside"} if learner.kind == "boosted" and folds > 2 else {}
+        models.append(fit(rest.withColumn("_aside", F.col("fold") == (k + 1) % folds), names, learner, **aside))
+        scores.append(predict(models[-1], seen.filter(F.col("fold") == k), ident, "fold", "y"))
+    return reduce(DataFrame.unionByName, scores), models
 
 
-def averaged(models: list, df: DataFrame, ident: str) -> DataFrame:
+def averaged(models: list, df: DataFrame, ident: str, view: View = lambda df, _: df) -> DataFrame:
     """Mean prediction of the fold models."""
-    each = reduce(DataFrame.unionByName, [predict(m, df, ident) for m in models])
+    each = reduce(DataFrame.unionByName, [predict(m, view(df, k), ident) for k, m in enumerate(models)])
     return each.groupBy(ident).agg(F.avg("p").alias("p"))
 
 
@@ -112,10 +135,15 @@ def blend(predictions: dict[str, DataFrame], ident: str, *keep: str) -> DataFram
     return joined.withColumn("blend", reduce(lambda a, b: a + b, [F.col(n) for n in predictions]) / len(predictions))
 
 
-def stack(blended: DataFrame, names: list[str], ident: str, folds: int = 5) -> DataFrame:
-    """blended with stacked: the out-of-fold prediction of a logistic learner over the learners' predictions."""
-    stacked, _ = out_of_fold(blended.withColumn("w", F.lit(1.0)), names, Learner("logistic", penalty=0.0), ident, folds)
-    return blended.join(stacked.select(ident, F.col("p").alias("stacked")), ident)
+def stack(blended: DataFrame, names: list[str], ident: str, folds: int = 5) -> tuple[DataFrame, list]:
+    """blended with stacked: the out-of-fold prediction of a logistic learner over the learners' predictions; and its models."""
+    stacked, models = out_of_fold(blended.withColumn("w", F.lit(1.0)), names, Learner("logistic", penalty=0.0), ident, folds)
+    return blended.join(stacked.select(ident, F.col("p").alias("stacked")), ident), models
+
+
+def better(scores: dict[str, float | None]) -> str:
+    """The name with the greater score, the first of equals; an absent score loses."""
+    return max(scores, key=lambda n: (scores[n] if scores[n] is not None else float("-inf")))
 
 
 def importance(model, names: list[str], most: int) -> list[tuple[str, float]]:
@@ -139,7 +167,9 @@ def tune(train: DataFrame, valid: DataFrame, names: list[str], grid: dict[str, l
         learner = Learner("logistic", **{k: v for k, v in params.items() if k not in weights})
         model = fit(train.withColumn("w", sample_weights(F.col("y"), F.col("weak"), **weights)), names, learner)
         scores = predict(model, valid, "y")
-        steps = metrics.ranks(scores, 50)
-        best = metrics.best_thresholds(scores, [(a, b) for i, a in enumerate(steps) for b in steps[i:]], costs, False, True)
+        counted = metrics.by_score(scores).persist()
+        steps = metrics.ranks(counted, 50)
+        best = metrics.best_thresholds(counted, [(a, b) for i, a in enumerate(steps) for b in steps[i:]], costs, False, True)
         out.append((params, metrics.auc(scores).first()[0] or 0.0, best[2] if best else 0.0))
+        counted.unpersist()
     return sorted(out, key=lambda x: x[2])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import between, sigmoid
 
+#: Ranges in which clip_bounds counts values, for each doubling.
+RANGES = 1024
+
 
 def long_form(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
     """keep, feature, x: one row per row and feature."""
@@ -61,16 +62,21 @@ def scaling(df: DataFrame, names: list[str]) -> DataFrame:
 def clip_bounds(df: DataFrame, names: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Per feature the exact values at ranks floor(q * (n - 1)); equal bounds move apart by 1, no values give (-1, 1).
 
-    Values are counted before they are ranked, so a group's window holds its distinct values only.
+    Values are counted in narrow ranges first. Only the values of the ranges that hold a rank are put in order, two a
+    feature; the ranges are broadcast, no more than two a feature.
     """
-    counted = long_form(df, names).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    x = F.col("x")
+    at = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * RANGES).cast("bigint")
+    long = long_form(df, names).withColumn("range", at)
     by = W.partitionBy("feature")
-    ranked = counted.withColumns({"there": F.sum(F.when(F.col("x").isNotNull(), F.col("n"))).over(by), "upto": F.sum(F.when(F.col("x").isNotNull(), F.col("n"))).over(by.orderBy(F.col("x").asc_nulls_first()))})
-    at = lambda q: F.max(F.when(F.col("x").isNotNull() & (F.floor(F.lit(q) * (F.col("there") - 1)) < F.col("upto")) & (F.floor(F.lit(q) * (F.col("there") - 1)) >= F.col("upto") - F.col("n")), F.col("x")))
-    picked = ranked.groupBy("feature").agg(at(low).alias("lo"), at(high).alias("hi"))
+    counted = long.groupBy("feature", "range").agg(F.count("x").alias("n")).withColumns({"there": F.sum("n").over(by), "upto": F.sum("n").over(by.orderBy(F.col("range").asc_nulls_first()))})
+    ends = F.explode(F.array(*[F.struct(F.lit(name).alias("end"), F.floor(F.lit(q) * (F.col("there") - 1)).alias("rank")) for name, q in (("lo", low), ("hi", high))])).alias("e")
+    held = counted.select("feature", "range", "n", "upto", ends).filter((F.col("e.rank") < F.col("upto")) & (F.col("e.rank") >= F.col("upto") - F.col("n")) & (F.col("n") > 0))
+    wanted = F.broadcast(held.select("feature", "range", "e.end", (F.col("e.rank") - F.col("upto") + F.col("n")).alias("offset")))
+    inside = long.join(wanted, ["feature", "range"]).groupBy("feature", "end", "offset", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = inside.withColumn("upto", F.sum("n").over(W.partitionBy("feature", "end").orderBy("x")))
+    hit = ranked.filter((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+    picked = hit.groupBy("feature").agg(F.max(F.when(F.col("end") == "lo", x)).alias("lo"), F.max(F.when(F.col("end") == "hi", x)).alias("hi"))
+    picked = counted.select("feature").distinct().join(picked, "feature", "left")
     same = F.col("lo") == F.col("hi")
     return picked.select("feature", F.coalesce(F.when(same, F.col("lo") - 1).otherwise(F.col("lo")), F.lit(-1.0)).alias("lo"), F.coalesce(F.when(same, F.col("hi") + 1).otherwise(F.col("hi")), F.lit(1.0)).alias("hi"))
-
-
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))

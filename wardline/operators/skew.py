@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 #: How many hot values are looked for; this bounds every broadcast made here.
 TRACKED = 4096
+#: Merged sketches that meet in the last step.
+MERGED = 64
 
 
 def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKED, least: int = 1000) -> DataFrame:
     """At most ``most`` values of the column that may be its most frequent, with at least about ``least`` rows, in one pass.
 
     A frequent-items sketch finds them: a value that holds more than about 7 / tracked of all rows is never missed.
-    Nulls are no values. The result only steers how rows travel, never which rows come out.
+    Sketches are merged in two steps, so no task holds those of all others. Nulls are no values. The result only steers
+    how rows travel, never which rows come out.
     """
-    top = df.agg(F.expr(f"approx_top_k({value}, {most}, {tracked})").alias("top"))
+    parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_part")).agg(F.expr(f"approx_top_k_accumulate({value}, {tracked})").alias("_sketch"))
+    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {tracked}), {most})").alias("top"))
     found = top.select(F.explode("top").alias("top")).filter(F.col("top.count") >= least).select(F.col("top.item").alias(value))
     return found.filter(F.col(value).isNotNull())
 

@@ -35,10 +35,7 @@ def _states(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     total = table(spark, sf, "social_graph").count()
-    links = table(spark, sf, "social_graph", "edge_id", "user_a", "user_b", "observed_at")
-    ends = heavy_keys.endpoints(links, user_key("user_a"), user_key("user_b"), "observed_at", "edge_id")
-    states = heavy_keys.states_by_key(ends.withColumn("none", F.lit(None).cast("string")), "key", "none", "observed_at", "edge_id")
-    return heavy_keys.heavy(states, total).select(F.col("key").alias("user_key"))
+    return heavy_keys.heavy(_states(spark, sf), total).select(F.col("key").alias("user_key"))
 
 
 def p5_per_user(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import scalars
 from wardline.operators import graph, learn, metrics, people, scoring, tabular
+from wardline.session import settle
 from wardline.sources import files
 from wardline.sources.tables import table
 
@@ -271,30 +273,30 @@ def _best(spark: SparkSession, best) -> DataFrame:
 
 @query
 def cost_quantile(spark, sf):
-    scores = _scores(spark, sf)
-    steps = metrics.ranks(scores, 200)
+    counted = settle(metrics.by_score(_scores(spark, sf)))
+    steps = metrics.ranks(counted, 200)
     pairs = [(a, b) for i, a in enumerate(steps) for b in steps[i:]]
-    best = metrics.best_thresholds(scores, pairs, COSTS["quantile"], False, True)
+    best = metrics.best_thresholds(counted, pairs, COSTS["quantile"], False, True)
     return spark.createDataFrame([(-best[2] if best else 0.0,)], "score double")
 
 
 @query
 def cost_grid_linspace(spark, sf):
     steps = [0.01 + i * 0.01 for i in range(99)]
-    return _best(spark, metrics.best_thresholds(_scores(spark, sf), [(a, b) for a in steps for b in steps if b > a], COSTS["linspace"], True, True))
+    return _best(spark, metrics.best_thresholds(metrics.by_score(_scores(spark, sf)), [(a, b) for a in steps for b in steps if b > a], COSTS["linspace"], True, True))
 
 
 @query
 def cost_grid_fixed(spark, sf):
     low, high = [0.01 + i * 0.01 for i in range(69)], [0.30 + i * 0.01 for i in range(69)]
-    return _best(spark, metrics.best_thresholds(_scores(spark, sf), [(a, b) for a in low for b in high if b > a], COSTS["fixed"], True, True))
+    return _best(spark, metrics.best_thresholds(metrics.by_score(_scores(spark, sf)), [(a, b) for a in low for b in high if b > a], COSTS["fixed"], True, True))
 
 
 @query
 def cost_grid_relative(spark, sf):
     low = [0.05 + i * 0.02 for i in range(23)]
     pairs = [(a, (a + 0.05) + j * 0.02) for a in low for j in range(ceil((0.95 - (a + 0.05)) / 0.02))]
-    return _best(spark, metrics.best_thresholds(_scores(spark, sf), pairs, COSTS["relative"], False, False))
+    return _best(spark, metrics.best_thresholds(metrics.by_score(_scores(spark, sf)), pairs, COSTS["relative"], False, False))
 
 
 @query
@@ -304,9 +306,23 @@ def cost_scaled(spark, sf):
     return best.select(F.round(F.col("cost") * F.lit(n_test / max(n_labelled, 1)), 4).alias("scaled_cost"))
 
 
+def _thresholds(spark, sf, scores: DataFrame) -> tuple[float, float]:
+    low, high = [0.01 + i * 0.01 for i in range(69)], [0.30 + i * 0.01 for i in range(69)]
+    best = metrics.best_thresholds(metrics.by_score(scores), [(a, b) for a in low for b in high if b > a], COSTS["fixed"], True, True)
+    return best[:2] if best else (0.0, 1.0)
+
+
 @query
 def decision_breakdown(spark, sf):
-    return _r(metrics.breakdown(_scores(spark, sf), 0.05, 0.7), 9)
+    scores = settle(_scores(spark, sf))
+    return _r(metrics.breakdown(scores, *_thresholds(spark, sf, scores)), 9)
+
+
+@query
+def cost_lines(spark, sf):
+    """What each kind of decision costs at the thresholds found."""
+    scores = settle(_scores(spark, sf))
+    return metrics.cost_lines(scores, *_thresholds(spark, sf, scores), COSTS["fixed"])
 
 
 # links
@@ -365,9 +381,7 @@ def known_neighbors(spark, sf):
 @query
 def edges_to_class(spark, sf):
     users, labels = _people(spark, sf)
-    both = people.both_ways(_links(spark, sf))
-    to = lambda y, name: graph.edges_to_class(users, both, labels, y).withColumnRenamed("edges", name)
-    return _named(to(1, "edges_to_cheaters").join(to(0, "edges_to_clean"), "key"))
+    return _named(graph.edges_to_classes(users, people.both_ways(_links(spark, sf)), labels))
 
 
 @query
@@ -455,24 +469,52 @@ def community_stats(spark, sf):
     return _named(graph.component_stats(parts, users, labels)).select("user_key", F.col("component").alias("community"), F.col("component_size").alias("community_size"), F.col("component_cheat_rate").alias("community_cheat_rate"))
 
 
-def _attached(spark, sf, rows: DataFrame) -> DataFrame:
-    """Rows with the features of their user's links; rows of nobody and users without links get 0 and null."""
+#: Columns of a user's links that are 0 for a row without such a user; the others are null there.
+_COUNTS = ["degree", "log_degree", "cheater", "clean", "labeled", "has_cheater", "neighbor_degree_mean", "neighbor_degree_max", "neighbor_degree_std", "triangles", "clustering", "component_size", "log_component_size", *[f"{n}_{h}hop" for n in ("n", "cheater", "clean") for h in (1, 2, 3)], "cheater_reach"]
+
+
+def _link_features(spark, sf) -> DataFrame:
+    """key and every feature of its links but those of more than one step: neighbours, their degrees, triangles,
+    component, both propagations."""
     users, labels = _people(spark, sf)
-    stats = graph.one_hop(users, people.simple(_links(spark, sf)), labels)
-    joined = rows.join(stats, "key", "left")
-    return joined.fillna(0, ["degree", "cheater", "clean", "labeled", "has_cheater"])
+    users, one, labels = settle(users), settle(people.simple(_links(spark, sf))), settle(labels)
+    parts = graph.components(_nodes(users, one), one)
+    tables = [
+        graph.one_hop(users, one, labels), graph.neighbour_degrees(users, one), graph.clustering(users, one), graph.component_stats(parts, users, labels).drop("component"),
+        graph.label_propagation(users, one, labels).withColumnRenamed("score", "label_prop_score"), graph.risk_propagation(users, one, labels).withColumnRenamed("risk", "pagerank_risk"),
+    ]
+    return reduce(lambda a, b: a.join(b, "key"), tables)
+
+
+def _attached(spark, sf, rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Rows with the features of their user's links; rows of nobody and users without links get 0 and null."""
+    joined = rows.join(features, "key", "left")
+    return joined.fillna(0, [c for c in _COUNTS if c in joined.columns])
 
 
 @query
 def attach_graph(spark, sf):
-    return _r(_attached(spark, sf, _rows(spark, sf).select("row_id", "key")).drop("key").withColumn("log_degree", F.coalesce("log_degree", F.lit(0.0))))
+    """Every feature of links on every row of train and test, but those of attach_hops."""
+    return _r(_attached(spark, sf, _rows(spark, sf).select("row_id", "key"), _link_features(spark, sf)).drop("key"))
+
+
+@query
+def attach_hops(spark, sf):
+    """The features of users within two and three steps, on every row of train and test."""
+    users, labels = _people(spark, sf)
+    hops = graph.hop_rates(graph.hops(users, people.simple(_links(spark, sf)), labels, 3), 3)
+    return _r(_attached(spark, sf, _rows(spark, sf).select("row_id", "key"), hops).drop("key"), 9)
 
 
 @query
 def graph_interactions(spark, sf):
-    rows = _attached(spark, sf, tabular.with_moments(_rows(spark, sf), NAMES))
+    """Rate of cheaters nearby times missing values, and propagated risk times the row's mean; what is absent counts 0."""
+    users, labels = _people(spark, sf)
+    users, one, labels = settle(users), settle(people.simple(_links(spark, sf))), settle(labels)
+    features = graph.one_hop(users, one, labels).select("key", "cheat_rate").join(graph.risk_propagation(users, one, labels), "key")
+    rows = _attached(spark, sf, tabular.with_moments(_rows(spark, sf), NAMES), features)
     stats = tabular.missing(NAMES) | tabular.row_stats(NAMES)
-    return rows.select("row_id", F.round(scalars.zero(F.col("cheat_rate")) * stats["missing_count"], 6).alias("rate_missing"), (F.col("degree") * scalars.zero(stats["row_mean"]) + 0.0).alias("degree_mean"))
+    return rows.select("row_id", F.round(scalars.zero(F.col("cheat_rate")) * stats["missing_count"], 6).alias("rate_missing"), (F.round(scalars.zero(F.col("risk")) * scalars.zero(stats["row_mean"]), 3) + F.lit(0.0)).alias("risk_mean"))
 
 
 # results
@@ -492,19 +534,35 @@ def validate_submission(spark, sf):
 # models
 
 
-def _model_rows(spark, sf) -> tuple[DataFrame, list[str]]:
-    """Labelled and weakly negative rows with features of their own and of links, ready for learners."""
+FOLDS = 5
+
+
+def _model_rows(spark, sf) -> tuple[DataFrame, DataFrame, learn.View, list[str]]:
+    """Rows to learn from (labelled, weakly negative), rows of test, the view that the model of a fold has of either,
+    and the names of its features.
+
+    Folds follow users, and a fold's model sees neither the labels of its users nor neighbours' rates made from them.
+    """
+    users, labels = _people(spark, sf)
+    marked = labels.select("key", "y", learn.fold_of_user(F.col("key"), FOLDS).alias("fold"))
+    near = settle(graph.counts_by_fold(users, people.simple(_links(spark, sf)), marked, FOLDS))
     rows = _train(spark, sf).withColumns({"y": people.label_class(), "weak": people.weak_negative()}).filter("y is not null or weak")
-    rows = _attached(spark, sf, rows.withColumn("y", F.coalesce("y", F.lit(0)))).withColumns(tabular.missing(NAMES) | tabular.logs())
-    names = people.model_columns(rows, ("row_id", "y", "is_cheating", "high_conf_clean", "fold"))
     true_y = F.when(F.col("weak"), F.lit(None)).otherwise(F.col("y"))
-    ready = learn.prepared(rows, names).withColumn("w", learn.sample_weights(true_y, F.col("weak")))
-    return learn.stratified_folds(ready, "row_id").select("row_id", "y", "w", "weak", "fold", *names).repartition("row_id").persist(), names
+    rows = rows.withColumn("w", learn.sample_weights(true_y, F.col("weak"))).withColumns({"y": F.coalesce("y", F.lit(0)), "fold": learn.fold_of_user(F.coalesce("key", F.col("row_id").cast("string")), FOLDS)})
+    own = tabular.missing(NAMES) | tabular.logs()
+    names = [*NAMES, *own, *graph.FOLD_FEATURES]
+
+    def shaped(df: DataFrame, *keep: str) -> DataFrame:
+        joined = df.withColumns(own).join(near, "key", "left").fillna(0, [c for c in near.columns if c != "key"])
+        return settle(joined.select("row_id", *keep, *NAMES, *own, *[c for c in near.columns if c != "key"]))
+
+    view = lambda df, k: learn.prepared(df.withColumns(graph.without_fold(k, FOLDS)), names)
+    return shaped(rows, "y", "w", "weak", "fold"), shaped(_test(spark, sf)), view, names
 
 
 def _oof(spark, sf, learner: learn.Learner) -> DataFrame:
-    rows, names = _model_rows(spark, sf)
-    return learn.out_of_fold(rows, names, learner, "row_id")[0].select("row_id", "fold", "y", "p")
+    rows, _, view, names = _model_rows(spark, sf)
+    return learn.out_of_fold(rows, names, learner, "row_id", FOLDS, view)[0].select("row_id", "fold", "y", "p")
 
 
 @query
@@ -514,7 +572,7 @@ def logreg(spark, sf):
 
 @query
 def gbt_cv(spark, sf):
-    return _oof(spark, sf, learn.Learner("boosted", rounds=10, depth=4))
+    return _oof(spark, sf, learn.Learner("boosted", rounds=20, depth=4))
 
 
 @query
@@ -529,40 +587,56 @@ def oof(spark, sf):
 
 @query
 def cv_summary(spark, sf):
-    scores = _oof(spark, sf, learn.Learner("logistic")).persist()
-    each = [(k, metrics.auc(scores.filter(F.col("fold") == k)).first()[0]) for k in range(5)]
+    """Mean and deviation of the folds' AUC."""
+    scores = settle(_oof(spark, sf, learn.Learner("logistic")))
+    each = [(k, metrics.auc(scores.filter(F.col("fold") == k)).first()[0]) for k in range(FOLDS)]
     return spark.createDataFrame(each, "fold int, auc double").agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.round(F.stddev_pop("auc"), 6).alias("std_auc"))
 
 
-def _blended(spark, sf):
-    rows, names = _model_rows(spark, sf)
-    learners = {"logistic": learn.Learner("logistic"), "boosted": learn.Learner("boosted", rounds=5, depth=3), "forest": learn.Learner("forest", rounds=10, depth=5)}
-    fitted = {name: learn.out_of_fold(rows, names, learner, "row_id") for name, learner in learners.items()}
-    return learn.blend({name: scores for name, (scores, _) in fitted.items()}, "row_id", "y", "fold"), list(learners)
+LEARNERS = {"logistic": learn.Learner("logistic"), "boosted": learn.Learner("boosted", rounds=8, depth=3), "forest": learn.Learner("forest", rounds=10, depth=5)}
+
+
+def _fitted(spark, sf):
+    rows, test, view, names = _model_rows(spark, sf)
+    fitted = {name: learn.out_of_fold(rows, names, learner, "row_id", FOLDS, view) for name, learner in LEARNERS.items()}
+    return learn.blend({name: scores for name, (scores, _) in fitted.items()}, "row_id", "y", "fold"), {name: models for name, (_, models) in fitted.items()}, test, view
 
 
 @query
 def ensemble(spark, sf):
-    return _blended(spark, sf)[0]
+    return _fitted(spark, sf)[0]
 
 
 @query
 def stacking(spark, sf):
-    blended, names = _blended(spark, sf)
-    return learn.stack(blended.persist(), names, "row_id")
+    return learn.stack(settle(_fitted(spark, sf)[0]), list(LEARNERS), "row_id", FOLDS)[0]
+
+
+@query
+def test_scores(spark, sf):
+    """Rows of test by the mean of the fold models, by the stacked learner over them, and by whichever of the two has
+    the greater AUC on rows held out from both."""
+    blended, models, test, view = _fitted(spark, sf)
+    stacked, stackers = learn.stack(settle(blended), list(LEARNERS), "row_id", FOLDS)
+    stacked = settle(stacked)
+    chosen = learn.better({"blend": metrics.auc(stacked.withColumnRenamed("blend", "p")).first()[0], "stacked": metrics.auc(stacked.withColumnRenamed("stacked", "p")).first()[0]})
+    each = settle(learn.blend({name: learn.averaged(own, test, "row_id", view) for name, own in models.items()}, "row_id"))
+    final = each.join(learn.averaged(stackers, each, "row_id").withColumnRenamed("p", "stacked"), "row_id")
+    return final.select("row_id", F.round("blend", 6).alias("mean_score"), F.round("stacked", 6).alias("stacked_score"), F.round(chosen, 6).alias("prediction"), F.lit(chosen).alias("chosen"))
 
 
 @query
 def top_features(spark, sf):
-    rows, names = _model_rows(spark, sf)
-    model = learn.fit(rows.filter("fold != 4"), names, learn.Learner("forest", rounds=20, depth=6))
+    rows, _, view, names = _model_rows(spark, sf)
+    model = learn.fit(view(rows, FOLDS - 1).filter(F.col("fold") != FOLDS - 1), names, learn.Learner("forest", rounds=20, depth=6))
     return spark.createDataFrame(learn.importance(model, names, 20), "feature string, importance double")
 
 
 @query
 def tune(spark, sf):
-    rows, names = _model_rows(spark, sf)
-    split = learn.hash_split(rows, "row_id").persist()
-    grid = {"penalty": [0.003, 0.03], "positive": [2.0, 4.0], "weak_negative": [0.1, 0.5]}
-    found = learn.tune(split.filter("is_validation = 0"), split.filter("is_validation = 1 and not weak"), names, grid)
+    """Ten of the grid's combinations, tried on the rows of one fold."""
+    rows, _, view, names = _model_rows(spark, sf)
+    split = settle(view(rows, 0).select("row_id", "y", "weak", "fold", *names))
+    grid = {"penalty": [0.01, 0.03, 0.1], "positive": [3.0, 4.0, 6.0], "weak_negative": [0.1, 0.25, 0.5]}
+    found = learn.tune(split.filter("fold != 0"), split.filter("fold = 0 and not weak"), names, grid)
     return spark.createDataFrame([(str(params), float(a), float(c)) for params, a, c in found], "parameters string, auc double, cost double")

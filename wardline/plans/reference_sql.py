@@ -49,7 +49,7 @@ ORACLES["interest_set"] = f"WITH {_BASE}, {_PEOPLE} SELECT k AS user_key FROM us
 ORACLES["base_rate"] = f"WITH {_BASE}, {_PEOPLE} SELECT count(y) AS labelled, CAST(coalesce(sum(y), 0) AS BIGINT) AS cheaters, round(avg(y), 9) AS rate FROM la"
 ORACLES["scale_pos"] = f"WITH {_BASE}, c AS (SELECT count(*) FILTER (is_cheating = 0) / greatest(count(*) FILTER (is_cheating = 1), 1) AS r FROM tr) SELECT round(r, 9) AS scale_pos, round(r * 1.5, 9) AS scale_pos_raised FROM c"
 ORACLES["split_labeled"] = f"WITH {_BASE} SELECT row_id, CAST(row_id % 1000000007 * 7919 % 100 < 20 AS INT) AS is_validation FROM tr WHERE is_cheating IN (0, 1)"
-ORACLES["strat_folds"] = f"WITH {_BASE} SELECT row_id, CAST((row_number() OVER (PARTITION BY is_cheating, row_id % 1000000007 * 7919 % 64 ORDER BY row_id % 1000000007 * 104729 % 1000003, row_id) + row_id % 1000000007 * 7919 % 64) % 5 AS INT) AS fold FROM tr WHERE is_cheating IN (0, 1)"
+ORACLES["strat_folds"] = f"WITH {_BASE} SELECT row_id, CAST((row_number() OVER (PARTITION BY is_cheating, b ORDER BY row_id % 1000000007 * 104729 % 1000003, row_id) + b) % 5 AS INT) AS fold FROM (SELECT row_id, is_cheating, row_id % 1000000007 * 7919 % greatest(64, count(*) OVER () // 1000) AS b FROM tr WHERE is_cheating IN (0, 1))"
 
 _miss = " + ".join(f"CAST({n} IS NULL AS INT)" for n in _N)
 _flags = {f"{n}_missing": f"CAST({n} IS NULL AS INT)" for n in _N}
@@ -125,7 +125,10 @@ _FIXED = f"WITH {_SCORES}, {_CUM}, {_search(f'pr AS (SELECT a.t AS t1, b.t AS t2
 ORACLES["cost_grid_fixed"] = f"{_FIXED} {_BEST}"
 ORACLES["cost_grid_relative"] = f"WITH {_SCORES}, {_CUM}, {_search(f'pr AS (SELECT a.t AS t1, (a.t + 0.05::DOUBLE) + j * 0.02::DOUBLE AS t2 FROM {_G(0.05, 23, 0.02)} a JOIN range(60) r(j) ON j < ceil((0.95::DOUBLE - (a.t + 0.05::DOUBLE)) / 0.02::DOUBLE))', (600, 300, 150, 5), '<', '>')} {_BEST}"
 ORACLES["cost_scaled"] = f"{_FIXED} SELECT round(min(cost) * ((SELECT count(*) FROM te) / (SELECT count(*) FROM lb)), 4) AS scaled_cost FROM al"
-ORACLES["decision_breakdown"] = f"WITH {_SCORES}, d AS (SELECT CASE WHEN p <= 0.05 THEN 'through' WHEN p >= 0.7 THEN 'stop' ELSE 'look' END AS region, y FROM sc) SELECT region, y, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 9) AS share FROM d GROUP BY region, y"
+_DECIDED = f"{_FIXED}, bt AS (SELECT t1, t2 FROM al ORDER BY al.cost, t1, t2 LIMIT 1), d AS (SELECT CASE WHEN p <= t1 THEN 'through' WHEN p >= t2 THEN 'stop' ELSE 'look' END AS region, y FROM sc, bt)"
+ORACLES["decision_breakdown"] = f"{_DECIDED} SELECT region, y, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 9) AS share FROM d GROUP BY region, y"
+_LINES = [("cheaters through", "through", 1, 600), ("clean stopped", "stop", 0, 300), ("clean looked at", "look", 0, 150), ("cheaters looked at", "look", 1, 150)]
+ORACLES["cost_lines"] = f"{_DECIDED}, ln AS (" + " UNION ALL ".join(f"SELECT '{name}' AS line, count(*) AS n, CAST(count(*) * {cost} AS DOUBLE) AS cost FROM d WHERE region = '{region}' AND y = {y}" for name, region, y, cost in _LINES) + ") SELECT * FROM ln UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT), sum(cost) FROM ln"
 
 ORACLES["edges_bidir"] = f"WITH {_LINKS} SELECT u, v FROM bi"
 ORACLES["edges_simple"] = f"WITH {_LINKS} SELECT u, v FROM si"
@@ -159,9 +162,6 @@ ORACLES["second_pass"] = f"{_ALL}, {_KN} SELECT us.k AS user_key, round(coalesce
 ORACLES["neighbor_degree"] = f"{_ALL}, dg AS (SELECT u, count(*) AS d FROM si GROUP BY u) SELECT us.k AS user_key, round(coalesce(avg(d), 0), 6) AS neighbor_degree_mean, coalesce(max(d), 0) AS neighbor_degree_max, round(coalesce(stddev_pop(d), 0), 6) AS neighbor_degree_std FROM us LEFT JOIN si x ON x.u = us.k LEFT JOIN dg ON dg.u = x.v GROUP BY us.k"
 _ONE = f"{_ALL}, {_nc('si')}, oh AS (SELECT k, degree, ln(1 + degree) AS log_degree, cheater, clean, labeled, cheater / nullif(labeled, 0) AS cheat_rate, CAST(cheater > 0 AS INT) AS has_cheater FROM nc)"
 ORACLES["one_hop"] = f"{_ONE} SELECT k AS user_key, degree, round(log_degree, 6) AS log_degree, cheater, clean, labeled, round(cheat_rate, 6) AS cheat_rate, has_cheater FROM oh"
-ORACLES["attach_graph"] = f"{_ONE} SELECT row_id, coalesce(degree, 0) AS degree, round(coalesce(log_degree, 0), 6) AS log_degree, coalesce(cheater, 0) AS cheater, coalesce(clean, 0) AS clean, coalesce(labeled, 0) AS labeled, round(cheat_rate, 6) AS cheat_rate, coalesce(has_cheater, 0) AS has_cheater FROM ro LEFT JOIN oh ON oh.k = ro.k"
-ORACLES["graph_interactions"] = f"{_ONE}, ms AS (SELECT row_id, k, {_miss} AS mc, {_sum} / nullif({_n}, 0) AS m FROM ro) SELECT row_id, round(coalesce(cheat_rate, 0) * mc, 6) AS rate_missing, coalesce(degree, 0) * coalesce(m, 0) + 0.0 AS degree_mean FROM ms LEFT JOIN oh ON oh.k = ms.k"
-
 _IDS = """nd AS MATERIALIZED (SELECT u AS k, CAST(row_number() OVER () AS INT) AS i FROM (SELECT DISTINCT u FROM si)),
 ie AS MATERIALIZED (SELECT x.i AS a, y.i AS b FROM si JOIN nd x ON x.k = si.u JOIN nd y ON y.k = si.v),
 iu AS MATERIALIZED (SELECT i AS a FROM nd WHERE k IN (SELECT k FROM us)),
@@ -196,12 +196,12 @@ def _prop(rounds: int = 15) -> str:
     return f"{_ALL}, {', '.join(parts)} SELECT k AS user_key, round(s, 6) AS score FROM s{rounds}"
 
 
-def _risk(rounds: int = 25) -> str:
+def _risk(rounds: int = 25, value: str = "round(r, 6)") -> str:
     parts = ["mn AS MATERIALIZED (SELECT u, v FROM si WHERE u IN (SELECT k FROM us))", "dg AS MATERIALIZED (SELECT u, count(*) AS d FROM si GROUP BY u)", "s0 AS MATERIALIZED (SELECT us.k, d, coalesce(y, 0) = 1 AS c, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0 END AS r FROM us LEFT JOIN la ON la.k = us.k LEFT JOIN dg ON dg.u = us.k)"]
     for i in range(rounds):
         parts.append(f"q{i} AS MATERIALIZED (SELECT o.k, o.d, o.c, CASE WHEN a.u IS NULL THEN o.r WHEN o.c THEN 0.5 + 0.425 * a.g ELSE 0.85 * a.g END AS r FROM s{i} o LEFT JOIN (SELECT mn.u, coalesce(sum(n.r / n.d), 0) AS g FROM mn LEFT JOIN s{i} n ON n.k = mn.v GROUP BY mn.u) a ON a.u = o.k)")
         parts.append(f"s{i + 1} AS MATERIALIZED (SELECT k, d, c, CASE WHEN (SELECT max(r) FROM q{i}) > 0 THEN r / (SELECT max(r) FROM q{i}) ELSE r END AS r FROM q{i})")
-    return f"{_ALL}, {', '.join(parts)} SELECT k AS user_key, round(r, 6) AS risk FROM s{rounds}"
+    return f"{_ALL}, {', '.join(parts)} SELECT k AS user_key, {value} AS risk FROM s{rounds}"
 
 
 def _votes(rounds: int = 8) -> str:
@@ -221,6 +221,16 @@ ORACLES["component_stats"] = f"{_COMP}, {_SIZES} SELECT us.k AS user_key, cm.c A
 ORACLES["communities"] = f"{_votes()} SELECT k AS user_key, c AS community FROM cm"
 ORACLES["community_stats"] = f"{_votes()}, {_SIZES} SELECT us.k AS user_key, cm.c AS community, n AS community_size, round(r, 6) AS community_cheat_rate FROM us JOIN cm ON cm.k = us.k JOIN sz ON sz.c = cm.c JOIN rt ON rt.c = cm.c"
 
+_KEYS = f"WITH {_BASE} SELECT row_id, k AS user_key FROM ro"
+_zero = lambda *names: ", ".join(f"coalesce({n}, 0) AS {n}" for n in names)
+ORACLES["attach_graph"] = f"""SELECT row_id, {_zero("degree", "log_degree", "cheater", "clean", "labeled", "has_cheater", "neighbor_degree_mean", "neighbor_degree_max", "neighbor_degree_std", "triangles", "clustering", "component_size", "log_component_size")},
+cheat_rate, component_cheat_rate, score AS label_prop_score, risk AS pagerank_risk FROM ({_KEYS}) r {" ".join(f"LEFT JOIN ({ORACLES[q]}) {q} USING (user_key)" for q in ("one_hop", "neighbor_degree", "clustering", "component_stats", "label_prop", "pagerank_risk"))}"""
+ORACLES["attach_hops"] = f"""SELECT row_id, {_zero(*[f"{n}_{h}hop" for n in ("n", "cheater", "clean") for h in (1, 2, 3)], "cheater_reach")}, rate_1hop, rate_2hop, rate_3hop, combined_rate
+FROM ({_KEYS}) r LEFT JOIN ({ORACLES["three_hop"]}) h USING (user_key)"""
+ORACLES["graph_interactions"] = f"""WITH ms AS (WITH {_BASE} SELECT row_id, k AS user_key, {_miss} AS mc, {_sum} / nullif({_n}, 0) AS m FROM ro)
+SELECT row_id, round(coalesce(cheater / nullif(labeled, 0), 0) * mc, 6) AS rate_missing, round(coalesce(risk, 0) * coalesce(m, 0), 3) + 0.0 AS risk_mean
+FROM ms LEFT JOIN ({ORACLES["one_hop"]}) o USING (user_key) LEFT JOIN ({_risk(value="r")}) p USING (user_key)"""
+
 ORACLES["submission_format"] = f"WITH {_BASE}, {_WEIGHTS}, {_TEST} SELECT user_hash, printf('%.10f', round(score, 6)) AS prediction FROM {_score('tz', 'row_id', 'user_hash')}"
 ORACLES["validate_submission"] = """WITH ex AS (SELECT DISTINCT user_hash FROM test WHERE user_hash IS NOT NULL), v AS (
   SELECT 'duplicate id' AS violation, user_hash FROM submission WHERE user_hash IS NOT NULL GROUP BY user_hash HAVING count(*) > 1

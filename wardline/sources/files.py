@@ -83,6 +83,17 @@ def violations(sub: DataFrame, test: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(name, rows) for name, rows in bad.items()]).unionByName(wrong)
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """violation, n, examples: a header other than user_hash, prediction, and rows of fewer than two columns."""
+    header = read_text(spark, path).columns
+    wide = spark.read.schema("user_hash string, prediction string, _bad string").option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    short = wide.filter(F.col("_bad").isNotNull() & F.col("prediction").isNull() & ~F.coalesce(F.col("_bad").contains(","), F.lit(False))).select(F.coalesce("user_hash", F.lit("")).alias("user_hash"))
+    some = F.array_join(F.slice(F.array_sort(F.collect_list("user_hash")), 1, 5), "|")
+    rows = short.orderBy("user_hash").limit(5).agg(some.alias("examples")).withColumn("n", F.lit(short.count()).cast("bigint")).filter("n > 0").select(F.lit("short row").alias("violation"), "n", "examples")
+    wrong = [("bad header", 1, "|".join(header))] if header != ["user_hash", "prediction"] else []
+    return spark.createDataFrame(wrong, "violation string, n bigint, examples string").unionByName(rows)
+
+
 def label_summary(train: DataFrame) -> DataFrame:
     """One row of counts: rows, labelled, cheaters, clean, unlabelled, flagged clean."""
     y = F.col("is_cheating")
