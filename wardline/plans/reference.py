@@ -553,8 +553,9 @@ def _model_rows(spark, sf) -> tuple[DataFrame, DataFrame, learn.View, list[str]]
     names = [*NAMES, *own, *graph.FOLD_FEATURES]
 
     def shaped(df: DataFrame, *keep: str) -> DataFrame:
-        joined = df.withColumns(own).join(near, "key", "left").fillna(0, [c for c in near.columns if c != "key"])
-        return settle(joined.select("row_id", *keep, *NAMES, *own, *[c for c in near.columns if c != "key"]))
+        joined = df.select("row_id", "key", *keep, *NAMES).join(near, "key", "left").fillna(0, [c for c in near.columns if c != "key"])
+        # written down at once: a join or filter above the new columns would make the optimizer infer every combination of them
+        return settle(joined.withColumns(own).drop("key"))
 
     view = lambda df, k: learn.prepared(df.withColumns(graph.without_fold(k, FOLDS)), names)
     return shaped(rows, "y", "w", "weak", "fold"), shaped(_test(spark, sf)), view, names
