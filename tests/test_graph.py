@@ -49,6 +49,9 @@ def test_components(small):
     users, labels, _, one = small
     nodes = users.union(one.select(F.col("u").alias("key"))).distinct()
     parts = graph.components(nodes, one)
+    for held in (0, graph.CONTRACTED):  # by rounds, and at once
+        spread = one.repartition(3, "v")
+        assert by_key(graph.components(nodes, spread, held), "component") == by_key(parts, "component")
     assert by_key(parts, "component") == dict.fromkeys("abcde", "a") | {"f": "f", "x": "f", "g": "g"}
     assert by_key(graph.component_stats(parts, users, labels), "component_size", "component_cheat_rate")["c"] == (5, pytest.approx(2 / 3))
 
@@ -65,3 +68,20 @@ def test_no_links(small):
     users, labels, both, one = small
     assert set(by_key(graph.degrees(users, both.limit(0)), "degree").values()) == {0}
     assert set(by_key(graph.clustering(users, one.limit(0)), "clustering").values()) == {0.0}
+
+
+def test_long_chain_over_tasks(spark):
+    """Links of a chain in many tasks: their parts are joined by rounds and at once alike."""
+    links = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(120)], "a string, b string").repartition(6)
+    one = people.simple(links)
+    nodes = one.select(F.col("u").alias("key")).distinct()
+    for held in (0, graph.CONTRACTED):
+        assert set(by_key(graph.components(nodes, one, held), "component").values()) == {"000"}
+
+
+def test_folds_hide_their_labels(small):
+    users, labels, _, one = small
+    marked = labels.withColumn("fold", F.when(F.col("key") == "a", 0).otherwise(1)).select("key", "y", "fold")
+    counts = graph.counts_by_fold(users, one, marked, 2)
+    assert by_key(counts.withColumns(graph.without_fold(0, 2)), "degree", "cheater", "clean")["c"] == (3, 0, 1)
+    assert by_key(counts.withColumns(graph.without_fold(1, 2)), "degree", "cheater", "clean")["c"] == (3, 1, 0)

@@ -35,6 +35,14 @@ def featured(rows: DataFrame, users: DataFrame, labels: DataFrame, links: DataFr
     return rows.join(stats, "key", "left")
 
 
+def numbered(train: DataFrame) -> DataFrame:
+    """train with row_id and observed_at; where a CSV table has none, its rows' place stands for both, so that the last
+    row of a user counts and equal rows stay apart."""
+    if "row_id" not in train.columns:
+        train = settle(train.withColumn("row_id", F.monotonically_increasing_id()))
+    return train if "observed_at" in train.columns else train.withColumn("observed_at", F.col("row_id"))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     test = people.cleaned(files.read_users(spark, locate("test.csv", args.test)))
     if args.validate:
@@ -46,10 +54,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(f"{p.violation}: {p.n} ({p.examples})")
         return int(bool(problems))
     train = people.cleaned(files.read_users(spark, locate("train.csv", args.train)))
-    if "row_id" not in train.columns:  # CSV tables have none: the place in the file, so that the last row counts
-        train = settle(train.withColumn("row_id", F.monotonically_increasing_id()))
-    if "observed_at" not in train.columns:
-        train = train.withColumn("observed_at", F.col("row_id"))
+    train = numbered(train)
     labels = people.user_labels(train)
     weak = people.weak_negative() if not args.no_pseudo else F.lit(False)
     rows = train.withColumns({"y": people.label_class(), "weak": weak}).filter("y is not null or weak")

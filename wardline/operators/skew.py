@@ -19,7 +19,8 @@ def hot_values(df: DataFrame, value: str, most: int = 256, tracked: int = TRACKE
     how rows travel, never which rows come out.
     """
     parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_part")).agg(F.expr(f"approx_top_k_accumulate({value}, {tracked})").alias("_sketch"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {tracked}), {most})").alias("top"))
+    # by a constant: without rows there is no group, and so no sketch to estimate from
+    top = parts.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {tracked}), {most})").alias("top"))
     found = top.select(F.explode("top").alias("top")).filter(F.col("top.count") >= least).select(F.col("top.item").alias(value))
     return found.filter(F.col(value).isNotNull())
 
