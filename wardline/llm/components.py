@@ -3,7 +3,8 @@
 Union-find runs inside each partition of the links and keeps only a spanning forest, as stars: every key points to
 the smallest key of its part. A key that several partitions hold gives links between their roots; all else about it
 is settled by one pointer to its smallest root. The links between roots are a smaller graph of the same kind, which is
-merged in the same way, in partitions of at most ``bound`` links, until one such partition holds what is left. Then
+merged in the same way, in partitions of at most ``bound`` links, dealt by ranges of keys so that a root meets all its
+links, until one such partition holds what is left. Then
 the pointers are followed back. No partition ever holds more than ``bound`` links, whatever the size of the graph,
 and a level at least drops the keys that are no roots.
 
@@ -97,6 +98,6 @@ def _solve(links: DataFrame, bound: int) -> DataFrame:
     if left <= bound:
         above = settle(between.coalesce(1).mapInArrow(_stars(bound), "key string, root string")).select(F.col("key").alias("least"), F.col("root").alias("name"))
     else:
-        above = _solve(between.repartition(-(-left // bound)), bound).select(F.col("key").alias("least"), F.col("group_key").alias("name"))
+        above = _solve(between.repartitionByRange(-(-left // bound), "a", "b"), bound).select(F.col("key").alias("least"), F.col("group_key").alias("name"))
     named = lookup(pointers, above, "least", "name")
     return named.select("key", F.coalesce("name", "least").alias("group_key"))
