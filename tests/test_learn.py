@@ -27,10 +27,10 @@ def test_metrics_and_thresholds(spark):
                     else:
                         total += 2 * (1 - y) + y
                 return total
-            got = metrics.best_thresholds(scores, [(a, b) for a, b in pairs if a < b], (7, 5, 2, 1), low_closed, high_closed)
+            got = metrics.best_thresholds(metrics.by_score(scores), [(a, b) for a, b in pairs if a < b], (7, 5, 2, 1), low_closed, high_closed)
             assert got == min(((a, b, float(cost(a, b))) for a, b in pairs if a < b), key=lambda x: (x[2], x[0], x[1]))
     assert metrics.auc(scores.filter("y = 1")).first()[0] is None
-    assert metrics.best_thresholds(scores, [], (7, 5, 2, 1), True, True) is None
+    assert metrics.best_thresholds(metrics.by_score(scores), [], (7, 5, 2, 1), True, True) is None
 
 
 def test_folds_are_stratified_and_learners_learn(spark):
@@ -48,9 +48,9 @@ def test_folds_are_stratified_and_learners_learn(spark):
 
 
 def test_tuning_tries_every_combination(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, i % 2, 1.0, False, float(i)) for i in range(40)], "row_id bigint, y int, w double, weak boolean, a double")
+    rows = spark.createDataFrame([(i, i % 2, 1.0, False, i % 5, float(i)) for i in range(40)], "row_id bigint, y int, w double, weak boolean, fold int, a double")
     scores = spark.createDataFrame([(0.2, 0), (0.7, 1)], "p double, y int")
-    monkeypatch.setattr(reference, "_model_rows", lambda *_: (rows, ["a"]))
+    monkeypatch.setattr(reference, "_model_rows", lambda *_: (rows, rows, lambda df, _: df, ["a"]))
     monkeypatch.setattr(learn, "fit", lambda *_: None)
     monkeypatch.setattr(learn, "predict", lambda *_: scores)
     tried = {r.parameters for r in reference.tune(spark, "").collect()}
@@ -62,3 +62,16 @@ def test_picks_vary_every_parameter():
     some = learn.picks(grid, 4)
     assert some == learn.picks(grid, 4) and len({tuple(p.values()) for p in some}) == 4
     assert all({p[k] for p in some} == {1, 2} for k in grid)
+
+
+def test_folds_of_users_and_choice(spark):
+    keys = spark.createDataFrame([(f"u{i % 50}", i) for i in range(200)], "key string, row_id bigint")
+    folds = keys.select("key", learn.fold_of_user(F.col("key")).alias("fold")).distinct()
+    assert folds.count() == 50 and {r.fold for r in folds.collect()} == set(range(5))
+    assert learn.better({"a": 0.5, "b": 0.7}) == "b" and learn.better({"a": 0.7, "b": 0.7}) == "a" and learn.better({"a": None, "b": 0.1}) == "b"
+
+
+def test_cost_lines(spark):
+    scores = spark.createDataFrame([(0.1, 1), (0.1, 0), (0.5, 1), (0.5, 0), (0.5, 0), (0.9, 1), (0.9, 0)], "p double, y int")
+    got = {r.line: (r.n, r.cost) for r in metrics.cost_lines(scores, 0.1, 0.9, (7, 5, 2, 1)).collect()}
+    assert got == {"cheaters through": (1, 7.0), "clean stopped": (1, 5.0), "clean looked at": (2, 4.0), "cheaters looked at": (1, 1.0), "total": (5, 17.0)}

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 ROOT = Path(entry.__file__).parent
 QUERIES = core_problems.QUERIES | reference.QUERIES
 ORACLES = core_problems.ORACLES | reference_sql.ORACLES
-SLOW = {"label_prop", "pagerank_risk", "communities", "community_stats", "component_stats", "three_hop"}
+SLOW = {"attach_graph", "attach_hops", "graph_interactions", "label_prop", "pagerank_risk", "communities", "community_stats", "component_stats", "three_hop"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
 

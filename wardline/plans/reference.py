@@ -635,9 +635,9 @@ def top_features(spark, sf):
 
 @query
 def tune(spark, sf):
-    """Ten of the grid's combinations, tried on the rows of one fold."""
+    """All combinations of the grid, tried on the rows of one fold."""
     rows, _, view, names = _model_rows(spark, sf)
     split = settle(view(rows, 0).select("row_id", "y", "weak", "fold", *names))
-    grid = {"penalty": [0.01, 0.03, 0.1], "positive": [3.0, 4.0, 6.0], "weak_negative": [0.1, 0.25, 0.5]}
+    grid = {"penalty": [0.003, 0.03], "positive": [2.0, 4.0], "weak_negative": [0.1, 0.5]}
     found = learn.tune(split.filter("fold != 0"), split.filter("fold = 0 and not weak"), names, grid)
     return spark.createDataFrame([(str(params), float(a), float(c)) for params, a, c in found], "parameters string, auc double, cost double")
