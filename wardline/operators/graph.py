@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import flag, ratio, total, zero
+from wardline.operators import reach
 from wardline.operators.skew import hot_list, lookup
 from wardline.session import release, settle
 
@@ -115,22 +116,74 @@ def guilt(counts: DataFrame, base: float) -> DataFrame:
     )
 
 
-def _numbered(users: DataFrame, one: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (id, key, y, user), links as pairs of ids, and which ids are users: what hops travel as."""
-    keys = one.select("u").distinct().select(F.col("u").alias("key"))
-    nodes = settle(keys.select("key", F.monotonically_increasing_id().alias("id")).join(labels.select("key", "y"), "key", "left").join(users.select("key", F.lit(True).alias("user")), "key", "left"))
-    ids = settle(one.join(nodes.select(F.col("key").alias("u"), F.col("id").alias("a")), "u").join(nodes.select(F.col("key").alias("v"), F.col("id").alias("b")), "v").select("a", "b"))
-    return nodes, ids, nodes.filter("user").select(F.col("id").alias("a"))
+#: Linked pairs that a task may hold; the hops of larger graphs are found by joins.
+HELD = 10_000_000
+#: Nodes times links that a task is there for, and tasks for each core at most: each is sent all links.
+SHARE, TASKS = 4_000_000_000, 2
 
 
-def hops(users: DataFrame, one: DataFrame, labels: DataFrame, far: int = 3) -> DataFrame:
-    """Exact counts of users reached in exactly 1, 2 and (far = 3) 3 steps from each user, and of cheaters among them.
+def _numbered(one: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (key, id, y), the linked pairs (x = a << 32 | b, each once) by ids from 0, and how many nodes there are."""
+    linked = settle(one.filter("u <= v"))
+    keys = linked.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    nodes = settle(keys.select("key", F.monotonically_increasing_id().alias("id")).join(labels.select("key", "y"), "key", "left"))
+    count, before = 0, []  # the ids of each task, one after the other
+    for r in nodes.groupBy(F.shiftright("id", 33).alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect():
+        before += [F.lit(r["task"]), F.lit(count - (r["task"] << 33))]
+        count += r["n"]
+    if before:
+        nodes = nodes.withColumn("id", F.col("id") + F.create_map(*before)[F.shiftright("id", 33)])
+    once = linked.join(nodes.select(F.col("key").alias("u"), F.col("id").alias("a")), "u").join(nodes.select(F.col("key").alias("v"), F.col("id").alias("b")), "v")
+    pairs = settle(once.select(F.shiftleft(F.least("a", "b"), 32).bitwiseOR(F.greatest("a", "b")).alias("x")))
+    release(linked)
+    return nodes, pairs, count
 
-    one: simple links. Pairs are deduplicated after each step and nearer ones are taken away. The pairs of a step are
-    what the result counts, so their number, which hubs make large, cannot shrink without sampling.
-    """
-    nodes, ids, own = _numbered(users, one, labels)
-    first = ids.join(own, "a", "left_semi")
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of a batch in order, their first bytes, their second bytes and so on: what compresses well."""
+    for batch in batches:
+        x = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.record_batch([pa.array([x.view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary())], names=["x"])
+
+
+def _unpacked(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _reach(nodes: DataFrame, pairs: DataFrame, n: int, links: int, far: int) -> DataFrame:
+    """id and the counts of hops, all links in every task; a task seeks some of the nodes from all others."""
+    parts = max(1, min(TASKS * nodes.sparkSession.sparkContext.defaultParallelism, n * links // SHARE))
+    marks = nodes.filter("y is not null").select((-2 * F.col("id") - F.col("y") - 1).alias("x"))  # below 0, which no link is
+    copies = pairs.union(marks).mapInArrow(_packed, "x binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    names = [f"{name}_{h}hop" for h in range(1, far + 1) for name in ("cheater", "clean", "other")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for batch in batches:
+            held += map(_unpacked, batch.column(0))
+            part = batch.column(1)[0].as_py() if batch.num_rows else part
+        if part is None:
+            return
+        x = np.concatenate(held)
+        held.clear()
+        kinds, marked = np.full(n, 2, np.int8), -(x[x < 0] + 1)
+        kinds[marked >> 1] = np.where(marked & 1, 0, 1)
+        found = reach.counts(reach.Graph(n, x[x >= 0]), kinds, far, part, parts).reshape(3 * far, n)
+        some = np.flatnonzero(found.any(axis=0))
+        for i in range(0, len(some), 65_536):
+            at = some[i : i + 65_536]
+            yield pa.record_batch([pa.array(at, pa.int64()), *[pa.array(c[at].astype(np.int64)) for c in found]], names=["id", *names])
+
+    got = copies.repartitionById(parts, "part").mapInArrow(count, "id bigint, " + ", ".join(f"{c} bigint" for c in names))
+    return got.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _joined(nodes: DataFrame, pairs: DataFrame, users: DataFrame, far: int) -> DataFrame:
+    """The same by joins, deduplicated after each step: the pairs in reach are written, but no task holds the links."""
+    ends = pairs.select(F.shiftright("x", 32).alias("a"), F.col("x").bitwiseAND((1 << 32) - 1).alias("b"))
+    ids = settle(ends.union(ends.filter("a != b").select("b", "a")))
+    own = settle(nodes.join(users, "key", "left_semi").select("id"))
+    first = ids.join(own.select(F.col("id").alias("a")), "a", "left_semi")
     around = first.filter("a != b").select("a", "b")
     step = lambda pairs: pairs.join(ids.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).filter("a != b").distinct()
     second = step(around).join(first, ["a", "b"], "left_anti")
@@ -138,12 +191,25 @@ def hops(users: DataFrame, one: DataFrame, labels: DataFrame, far: int = 3) -> D
     levels = [first, second]
     if far > 2:
         levels.append(step(second).join(second, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"))
-    marks = nodes.select(F.col("id").alias("b"), "y")
-    out = nodes.filter("user").select("key", F.col("id").alias("a"))
+    out, marks = own, nodes.select(F.col("id").alias("b"), "y")
     for hop, pairs in enumerate(levels, 1):
-        seen = pairs.join(marks, "b")
-        out = out.join(seen.groupBy("a").agg(F.count(F.lit(1)).alias(f"n_{hop}hop"), F.count_if(F.col("y") == 1).alias(f"cheater_{hop}hop"), F.count_if(F.col("y") == 0).alias(f"clean_{hop}hop")), "a", "left")
-    found = users.join(out.drop("a"), "key", "left")
+        of = {"cheater": F.col("y") == 1, "clean": F.col("y") == 0, "other": F.col("y").isNull()}
+        seen = pairs.join(marks, "b").groupBy(F.col("a").alias("id")).agg(*[F.count_if(c).alias(f"{name}_{hop}hop") for name, c in of.items()])
+        out = out.join(seen, "id", "left")
+    return out.fillna(0)
+
+
+def hops(users: DataFrame, one: DataFrame, labels: DataFrame, far: int = 3, held: int = HELD) -> DataFrame:
+    """Exact counts of users reached in exactly 1, 2 and (far = 3) 3 steps from each user, and of cheaters among them.
+
+    one: simple links. The pairs in reach, which hubs make many, are counted by bit maps (``reach``), where each task
+    holds all links; with over ``held`` linked pairs they are made by joins instead. Both give the same rows.
+    """
+    nodes, pairs, n = _numbered(one, labels)
+    links = pairs.count()
+    got = _reach(nodes, pairs, n, links, far) if links <= held else _joined(nodes, pairs, users, far)
+    each = [c for h in range(1, far + 1) for c in (total([F.col(f"{c}_{h}hop") for c in ("cheater", "clean", "other")]).alias(f"n_{h}hop"), f"cheater_{h}hop", f"clean_{h}hop")]
+    found = users.join(nodes.select("key", "id").join(got, "id").select("key", *each), "key", "left")
     return found.fillna(0, [n for n in found.columns if n != "key"])
 
 
