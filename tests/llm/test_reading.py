@@ -33,6 +33,25 @@ def test_repeated_lines_are_not_those_of_copies(spark):
     assert r.repeated_lines(table.limit(0), "doc_id", "text") == []
 
 
+def test_repeated_lines_are_sought_in_all_documents(spark):
+    """6,000 lines on seven or eight pages each and a long one on six, among 45,000 pages: all are found, whatever the number of pages."""
+    from pyspark.sql import functions as F
+
+    letters = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    own = F.concat(F.lit("Page of its own "), letters(F.col("id")), F.when(F.col("id") < 6, F.lit("y" * 1_500)).otherwise(""))
+    text = F.concat_ws("\n", own, F.concat(F.lit("Notice "), letters(F.col("id") % 6_000)), F.when(F.col("id") < 6, F.lit("x" * 1_200)))
+    found = r.repeated_lines(spark.range(45_000).select("id", text.alias("text")), "id", "text")
+    assert sum(line.startswith("notice ") for line in found) == 6_000 and "x" * 1_200 in found and len(found) == 6_001
+
+
+def test_lines_count_once_for_each_page():
+    """Prose that some pages quote does not become furniture beside a notice of a thousand pages."""
+    notice, quoted, prose = "all rights reserved.", "the old lamp stood near the quiet river.", ["the old lamp stood there", "a quiet river"] * 5
+    wording = r.Wording([notice, quoted], prose, [1_000, 5])
+    assert wording.furniture(notice) and not wording.furniture(quoted)
+    assert r.Wording([notice, quoted], prose).weights == r.Wording([notice, quoted], prose, [1, 1]).weights
+
+
 def test_broken_lines_are_put_together():
     flat = "The ferry that described our famous festival also copied the teacher beside the bridge in Pellraton. Nobody watched the old lantern until Ruskragate copied it."
     broken = "The ferry that described our famous festival\nalso copied the teacher beside the bridge in\nPellraton. Nobody watched the old lantern until\nRuskragate copied it."

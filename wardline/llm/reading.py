@@ -2,8 +2,9 @@
 
 The prose of a text is set apart from its furniture line by line: menus, lists and titles fall away by their form,
 notices, footers and messages by their wording, and lines broken inside a sentence are put together again. The wording is
-learned from the corpus: lines that stand on several pages of different content are furniture, graded samples are prose,
-and a line's words and word pairs are weighed by how much likelier they are in the first than in the second.
+learned from the corpus: lines that stand on several pages of different content are furniture, each as often as it has
+such pages, graded samples are prose, and a line's words and word pairs are weighed by how much likelier they are in the
+first than in the second.
 
 From the prose come syntax and vocabulary features, among them soft steps at quantiles of the samples and their products,
 so that a linear scorer can follow bands that both must agree on. A linear ranker learns from pairs of graded samples
@@ -12,8 +13,8 @@ levels, level between two steps where no sample lies. A document's band is that
 between two bands, so that the samples do not decide, an exact check follows: the stated bounds on words a sentence and
 on the share of long words.
 
-Ranker and wording are fitted on the driver: on at most ``SAMPLES`` graded samples, and on at most ``LINES`` repeated
-lines of about ``PAGES`` documents, drawn by a hash of their ids. Documents are read once more, without a shuffle.
+Ranker and wording are fitted on the driver: on at most ``SAMPLES`` graded samples, and on all repeated lines of all
+documents. Documents are read once more, without a shuffle.
 
 Defined results: a null, empty or blank text, one with fewer than ``LEAST_WORDS`` words of prose, without blanks between
 words or without letters has no row. Repeated rows come out as often as they go in; copies of a page make none of its
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 
 #: Graded samples that are fitted at most.
 SAMPLES = 10_000
-#: Documents, about, that repeated lines are sought in; lines taken from them at most, and the longest of these.
-PAGES, LINES, LINE = 20_000, 5_000, 1_000
 #: Pages of different content that a line of furniture stands on.
 REPEATED = 5
 #: Mean weight of a line's words from which it is furniture.
@@ -85,9 +84,13 @@ def _grams(line: str) -> set[str]:
 class Wording:
     """Weights of words and word pairs: how much likelier in lines of furniture than in sentences of prose."""
 
-    def __init__(self, furniture: list[str], prose: list[str]) -> None:
-        there, here = (Counter(g for line in lines for g in _grams(line)) for lines in (furniture, prose))
-        prior = math.log((len(prose) + 1) / (len(furniture) + 1))
+    def __init__(self, furniture: list[str], prose: list[str], pages: list[int] | None = None) -> None:
+        """pages: on how many pages each line of furniture stands, and so how often it counts; once without them."""
+        pages = pages or [1] * len(furniture)
+        there, here = Counter(), Counter(g for line in prose for g in _grams(line))
+        for line, n in zip(furniture, pages, strict=True):
+            there.update(dict.fromkeys(_grams(line), n))
+        prior = math.log((len(prose) + 1) / (sum(pages) + 1))
         self.weights = {g: prior + math.log((there[g] + 0.5) / (here[g] + 0.5)) for g in there | here} if furniture else {}
 
     def furniture(self, line: str) -> bool:
@@ -246,24 +249,28 @@ def fit(samples: DataFrame, text: str, band: str, most: int = SAMPLES) -> Ranker
     return Ranker(features(np.array([m for m, _ in measured]).reshape(-1, 5)), np.array([b for _, b in measured], int))
 
 
-def repeated_lines(docs: DataFrame, ident: str, text: str, pages: int = PAGES, least: int = REPEATED) -> list[str]:
-    """Lines, in lower case and with numbers as 0, on ``least`` pages or more whose longest lines differ; at most ``LINES``.
-
-    Copies of a page share their longest line, so they count once, however many there are.
-    """
-    parts = max(1, docs.count() // pages)
-    drawn = docs.filter((F.pmod(F.xxhash64(ident), F.lit(parts)) == 0) & F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    lines = drawn.select(F.expr(r"transform(split(text, r'[\n\r\x0B\f\u2028\u2029]+'), l -> lower(regexp_replace(trim(l), '[0-9]+', '0')))").alias("lines"))
+def _repeated(docs: DataFrame, text: str, least: int) -> list[tuple[str, int]]:
+    """The lines of repeated_lines and on how many pages each stands, most first."""
+    lines = docs.filter(F.col(text).isNotNull()).select(F.expr(rf"transform(split(`{text}`, r'[\n\r\x0B\f\u2028\u2029]+'), l -> lower(regexp_replace(trim(l), '[0-9]+', '0')))").alias("lines"))
     of_pages = lines.select("lines", F.expr("xxhash64(array_max(transform(lines, l -> struct(length(l), l))).l)").alias("page"))
-    each = of_pages.select(F.explode(F.expr(f"filter(lines, l -> length(l) between 1 and {LINE})")).alias("line"), "page").distinct()
+    each = of_pages.select(F.explode(F.expr("filter(lines, l -> l != '')")).alias("line"), "page").distinct()
     often = each.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return [r["line"] for r in often.orderBy(F.desc("n"), "line").limit(LINES).collect()]
+    return [(r["line"], r["n"]) for r in often.orderBy(F.desc("n"), "line").collect()]
+
+
+def repeated_lines(docs: DataFrame, ident: str, text: str, least: int = REPEATED) -> list[str]:
+    """All lines, in lower case and with numbers as 0, that stand on ``least`` pages or more whose longest lines differ.
+
+    Copies of a page share their longest line, so they count once, however many there are; ids make no difference.
+    """
+    return [line for line, _ in _repeated(docs, text, least)]
 
 
-def learn_wording(docs: DataFrame, ident: str, text: str, samples: DataFrame, sample_text: str, band: str, pages: int = PAGES, least: int = REPEATED) -> Wording:
+def learn_wording(docs: DataFrame, ident: str, text: str, samples: DataFrame, sample_text: str, band: str, least: int = REPEATED) -> Wording:
     """The wording of furniture from repeated lines of the documents against the sentences of graded samples."""
     prose = [s for r in _graded(samples, sample_text, band, SAMPLES) for p in _LINES.split(r["text"]) for s in _END.split(p) if s.strip()]
-    return Wording(repeated_lines(docs, ident, text, pages, least), prose)
+    found = _repeated(docs, text, least)
+    return Wording([line for line, _ in found], prose, [n for _, n in found])
 
 
 def levels(docs: DataFrame, ident: str, text: str, ranker: Ranker, wording: Wording | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
