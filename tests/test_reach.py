@@ -36,8 +36,8 @@ def test_counts_are_those_of_a_search(far):
         links, kinds = drawn(seed, 150, seed * 25)
         held = reach.Graph(150, np.array([a << 32 | b for a, b in links], np.int64))
         want = searched(links, kinds, far)
-        for width, shared, parts in ((64, 1, 1), (64, 8, 3), (2048, 256, 2)):
-            assert (sum(reach.counts(held, kinds, far, p, parts, width, shared) for p in range(parts)) == want).all()
+        for width, shared, parts, size in ((64, 1, 1, 1), (64, 8, 3, 1), (2048, 8, 2, 1), (2048, 256, 2, reach.BYTES)):
+            assert (sum(reach.counts(held, kinds, far, p, parts, width, shared, size) for p in range(parts)) == want).all()
 
 
 @pytest.mark.parametrize("held", [0, graph.HELD])

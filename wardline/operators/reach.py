@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Nodes sought at once, at most; smaller groups of one hub share blocks. Bytes of a block's maps, about.
+#: Nodes sought at once, at most; smaller groups of one hub share blocks. Bytes of a block's maps: blocks with more are halved.
 WIDTH, SHARED, BYTES = 2_048, 256, 64_000_000
 #: Rows that are put together at once, and from how many neighbours on a row is for itself.
 TILE, LONG = 8_192, 48
@@ -98,32 +98,39 @@ def _ones(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
 
 
-def counts(graph: Graph, kinds: np.ndarray, far: int, part: int = 0, parts: int = 1, width: int = WIDTH, shared: int = SHARED) -> np.ndarray:
+def counts(graph: Graph, kinds: np.ndarray, far: int, part: int = 0, parts: int = 1, width: int = WIDTH, shared: int = SHARED, size: int = BYTES) -> np.ndarray:
     """found[h, kind, node]: nodes of the kind exactly h + 1 steps away; linked with itself, a node is one step away.
 
     kinds: 0, 1 or 2. Only the blocks of one of the parts are sought; the sum over all parts is the whole.
     """
-    width = max(64, min(width, BYTES // max(graph.n, 1) // 8 * 64))
     within = np.zeros((far, 3, graph.n), np.int32)
     place = np.zeros(graph.n, np.int32)
     known, near, nearby = -1, np.array([], np.int64), np.zeros(graph.n, bool)
     every = blocks(graph, kinds, width, shared)
-    for sought, hub in every[len(every) * part // parts : len(every) * (part + 1) // parts]:
+    mine = every[len(every) * part // parts : len(every) * (part + 1) // parts]
+    ahead = mine[::-1]
+    while ahead:
+        sought, hub = ahead.pop()
         kind, words = kinds[sought[0]], -(-len(sought) // 64)
         nodes, many = graph.around(sought)
         column = np.repeat(np.arange(len(sought)), many)
         mark = np.zeros(graph.n, bool)
         mark[nodes] = True
         rows = np.flatnonzero(mark)
+        if hub >= 0 and hub != known:
+            known, near = hub, graph.around(np.array([hub]))[0]
+            nearby = graph.beside(near)
+        reached = graph.beside(rows)
+        if words > 1 and (np.count_nonzero(reached) - (len(near) if hub >= 0 else 0)) * words * 8 > size:
+            half = words // 2 * 64
+            ahead += [(sought[half:], hub), (sought[:half], hub)]
+            continue
         place[rows] = np.arange(1, len(rows) + 1)
         bits = np.zeros((len(rows) + 1, words), np.uint64)
         np.bitwise_or.at(bits.reshape(-1), place[nodes].astype(np.int64) * words + (column >> 6), np.left_shift(np.uint64(1), (column & 63).astype(np.uint64)))
         within[0, kind, rows] += _ones(bits[1:])
-        if hub >= 0 and hub != known:
-            known, near = hub, graph.around(np.array([hub]))[0]
-            nearby = graph.beside(near)
         for h in range(1, far):
-            reached = graph.beside(rows)
+            reached = reached if h == 1 else graph.beside(rows)
             if hub >= 0:  # these have all bits: neighbours of the hub in the second step, theirs in the third
                 full = near if h == 1 else np.flatnonzero(nearby)
                 within[h, kind, full] += len(sought)
@@ -140,9 +147,9 @@ def counts(graph: Graph, kinds: np.ndarray, far: int, part: int = 0, parts: int
                 place[more] = np.arange(1, len(more) + 1)
                 rows, bits = more, maps
         place[rows] = 0
-    found = within.copy()
-    found[1:] -= within[:-1]
-    mine = np.concatenate([b for b, _ in every[len(every) * part // parts : len(every) * (part + 1) // parts]] or [np.array([], np.int64)])
-    mine = mine[~graph.looped[mine]]
-    found[0, kinds[mine], mine] -= 1
-    return found
+    for h in range(far - 1, 0, -1):
+        within[h] -= within[h - 1]
+    own = np.concatenate([b for b, _ in mine] or [np.array([], np.int64)])
+    own = own[~graph.looped[own]]
+    within[0, kinds[own], own] -= 1
+    return within
