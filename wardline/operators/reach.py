@@ -28,8 +28,13 @@ class Graph:
     def __init__(self, n: int, links: np.ndarray) -> None:
         loops = links[(links >> 32) == (links & LOW)] & LOW
         links = links[(links >> 32) != (links & LOW)]
-        own = np.arange(n, dtype=np.int64)
-        ends = np.concatenate([links, (links & LOW) << 32 | links >> 32, own << 32 | own])
+        ends = np.empty(2 * len(links) + n, np.int64)  # filled in place, as this is what takes most memory
+        back = ends[len(links) : 2 * len(links)]
+        ends[: len(links)] = links
+        np.left_shift(links, 32, out=back)
+        links >>= 32
+        back |= links
+        ends[2 * len(links) :] = np.arange(n, dtype=np.int64) * ((1 << 32) + 1)
         ends.sort()
         self.n, self.to = n, (ends & LOW).astype(np.int32)
         ends >>= 32
@@ -46,7 +51,8 @@ class Graph:
     def beside(self, rows: np.ndarray) -> np.ndarray:
         """Whether each node is a neighbour of some nodes."""
         mark = np.zeros(self.n, bool)
-        mark[self.around(rows)[0]] = True
+        for i in range(0, len(rows), TILE):
+            mark[self.around(rows[i : i + TILE])[0]] = True
         return mark
 
     def best(self) -> np.ndarray:
